@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from reelframe.llm import url_rules
+from reelframe.llm import language_id, toxicity, url_rules
 
 
 def queries() -> dict:
-    return {"op1_url_rules": url_rules.query}
+    return {
+        "op1_url_rules": url_rules.query,
+        "op7_toxicity": toxicity.query,
+        "op9_language_id": language_id.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
