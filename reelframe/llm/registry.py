@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from reelframe.llm import language_id, toxicity, url_rules
+from reelframe.llm import language_id, near_dups, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_url_rules": url_rules.query,
         "op7_toxicity": toxicity.query,
+        "op8_near_dups": near_dups.query,
         "op9_language_id": language_id.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": url_rules.SQL}
+    return {"op1_url_rules": url_rules.SQL, "op8_near_dups": near_dups.SQL}
