@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.llm import language_id, near_dups, toxicity, url_rules
+from reelframe.llm import chat_format, language_id, near_dups, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -11,8 +11,9 @@ def queries() -> dict:
         "op7_toxicity": toxicity.query,
         "op8_near_dups": near_dups.query,
         "op9_language_id": language_id.query,
+        "op10_chat_format": chat_format.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": url_rules.SQL, "op8_near_dups": near_dups.SQL}
+    return {"op1_url_rules": url_rules.SQL, "op8_near_dups": near_dups.SQL, "op10_chat_format": chat_format.SQL}
