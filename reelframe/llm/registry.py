@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reelframe.llm import chat_format, html_text, language_id, near_dups, toxicity, url_rules
+from reelframe.llm import additive_codes, chat_format, html_text, language_id, near_dups, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_url_rules": url_rules.query,
+        "op3_additive_codes": additive_codes.query,
         "op4_html_text": html_text.query,
         "op7_toxicity": toxicity.query,
         "op8_near_dups": near_dups.query,
