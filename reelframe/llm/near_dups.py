@@ -1,22 +1,29 @@
 """MinHash near-dedup with HyperMinHash sketches.
 
 A document's set are its distinct ``SHINGLE``-word shingles.  Their 64-bit hashes fall
-by the first ``2 ** P`` values of the leading bits into buckets; a bucket keeps its
-smallest hash as a register of 16 bits: the number of leading zeros of the remaining
-bits and ``R`` bits of mantissa.  Four registers in a row form a band; documents that
-agree in a band are candidates.  From two sketches the similarity is estimated, less
-the matches expected by chance, and candidates clearly below the threshold go.  What
-stays is confirmed on the full shingle sets of the whole texts.
+by the leading bits into ``2 ** P`` buckets; a bucket keeps its smallest hash as a
+register of 16 bits: the number of leading zeros of the remaining bits and ``R`` bits
+of mantissa.  For banding, empty registers borrow from full ones at places fixed in
+advance (densification), so that a band is as selective for short texts as for long
+ones.  ``BAND`` registers form a band; documents that agree in a band are candidates.
+From two sketches the similarity is estimated, less the matches expected by chance,
+and candidates clearly below the threshold go.  What stays is confirmed on the full
+shingle sets of the whole texts.
 
 The work follows the number of different texts, not of pairs:
 
 * equal word sequences are one class, held by the smallest id;
-* in a band's bucket every class is compared with the bucket's smallest id only, and
-  verified links are merged into components;
-* then only buckets that still hold several components are looked at again, and in
-  these every class outside the bucket's largest component meets every class of
-  another component.  Links inside a component change nothing, so no link between
-  different components is lost, and a large group of copies never forms all pairs.
+* of the classes that share a band's bucket, the one with most company over all its
+  buckets is the hub; every other class is compared with its hubs, and verified links
+  are merged into components;
+* classes with a common hub are a group.  Only groups that still hold several
+  components are looked at again.  In a small one (``SMALL`` classes at most) pairs of
+  different components are candidates like those above.  A larger one is cut into
+  blocks of ``BLOCK`` classes, ordered by component; blocks are compared with each
+  other as matrices unless both hold one and the same component, and a comparison
+  returns no more links than join its components.  No pairs are formed there.
+
+Links inside a component change nothing, so no link between components is lost.
 
 Nulls and odd input: a null or empty text, or one of white space, has an empty set
 (0 shingles), is linked with nothing and kept; a text with fewer words than a shingle
@@ -41,8 +48,9 @@ from reelframe.llm.common import Scratch, read
 from reelframe.llm.components import components
 
 SHINGLE, PERCENT = 2, 80
-P, R, BAND = 7, 10, 4
-SLACK = 5.0  # standard errors by which an estimate must miss the threshold to drop a pair
+P, R, BAND = 8, 10, 6
+SMALL, BLOCK = 24, 256
+SLACK = 4.5  # standard errors by which an estimate must miss the threshold to drop a pair
 
 
 def words(text: str | None) -> list[bytes]:
@@ -94,6 +102,25 @@ def sketch(hashes: np.ndarray, p: int = P, r: int = R) -> np.ndarray:
     return out
 
 
+_rng = np.random.default_rng(3)
+_PROBES = np.stack([_rng.permutation(1 << P) for _ in range(24)])
+
+
+def densify(regs: np.ndarray) -> np.ndarray:
+    """Empty registers of the rows filled from full ones; rows that are all empty stay."""
+    out = regs.copy()
+    for probe in _PROBES:
+        empty = out == 0
+        if not empty.any():
+            return out
+        out = np.where(empty, regs[:, probe], out)
+    for _ in range(out.shape[1]):
+        if not (out == 0).any():
+            break
+        out = np.where(out == 0, np.roll(out, -1, axis=1), out)
+    return out
+
+
 def word_shingles(text: str | None, k: int = SHINGLE) -> set:
     """The full set, as bytes: words joined by a blank, which no word contains."""
     ws = words(text)
@@ -127,20 +154,20 @@ def sketches(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, rep, n): a bucket for each band of a class that is not empty."""
+    """(bucket, rep, n): a bucket for each band of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            at, band = np.nonzero(regs)
-            key = regs[at, band] * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-            key = (key + band.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            key ^= key >> np.uint64(29)
-            own = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("rep").take(own), b.column("n").take(own)], names=["bucket", "rep", "n"])
+        for whole in batches:
+            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                regs = densify(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(b.num_rows, -1))
+                many = regs.shape[1] // BAND
+                parts = regs[:, : many * BAND].reshape(b.num_rows, many, BAND).astype(np.uint64)
+                key = np.broadcast_to(np.arange(many, dtype=np.uint64), (b.num_rows, many)).copy()
+                for j in range(BAND):
+                    key = (key + parts[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(31)
+                own = pa.array(np.repeat(np.arange(b.num_rows), many))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column("rep").take(own), b.column("n").take(own)], names=["bucket", "rep", "n"])
 
     return classes.select("rep", "n", "sketch").mapInArrow(run, "bucket long, rep long, n long")
 
@@ -183,6 +210,50 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def joining(left: list[tuple], right: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links (id, id) that join the components of two blocks of (id, component, text)."""
+    vocab: dict[bytes, int] = {}
+    sides = []
+    for rows in (left, right):
+        at, col, n = [], [], []
+        for i, (_, _, text) in enumerate(rows):
+            own = word_shingles(text, k)
+            n.append(len(own))
+            at += [i] * len(own)
+            col += [vocab.setdefault(x, len(vocab)) for x in own]
+        sides.append((np.array(at), np.array(col), np.array(n)))
+    # only what both sides have counts for the common part
+    there = [np.bincount(col, minlength=len(vocab)) > 0 for _, col, _ in sides]
+    common = there[0] & there[1]
+    new = np.cumsum(common) - 1
+    both = np.zeros((len(left), len(right)), np.float32)
+    mats = [(at[common[col]], new[col[common[col]]]) for at, col, _ in sides]
+    for lo in range(0, int(common.sum()), 4096):
+        m = []
+        for (at, col), rows in zip(mats, (left, right), strict=True):
+            own = (col >= lo) & (col < lo + 4096)
+            x = np.zeros((len(rows), min(4096, int(common.sum()) - lo)), np.float32)
+            x[at[own], col[own] - lo] = 1
+            m.append(x)
+        both += m[0] @ m[1].T
+    both = both.astype(np.int64)
+    ok = 100 * both >= percent * (sides[0][2][:, None] + sides[1][2][None, :] - both)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        x, y = find(left[i][1]), find(right[j][1])
+        if x != y:
+            root[x] = y
+            out.append((left[i][0], right[j][0]))
+    return out
+
+
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``documents``: id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -193,30 +264,54 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     classes = scratch.keep(able.groupBy("key").agg(F.min(F.struct(F.col("id").alias("rep"), "n", "sketch")).alias("c")).select("key", "c.*"), "classes")
 
     own = W.partitionBy("bucket")
-    shared = scratch.keep(bands(classes).select("bucket", "rep", "n", F.count("*").over(own).alias("m"), F.min(F.struct("rep", "n")).over(own).alias("head")).where("m > 1").select("bucket", "rep", "n", "head"), "shared")
+    shared = scratch.keep(bands(classes).withColumn("m", F.count("*").over(own)).where("m > 1"), "shared")
+    company = shared.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("company"))
+    hub = F.max(F.struct("company", (-F.col("rep")).alias("id"), "n")).over(own)
+    groups = scratch.keep(shared.join(company, "rep").select("rep", "n", hub.alias("h")).select((-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n"), "rep", "n").distinct(), "groups")
+    scratch.drop("shared")
+
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         found = scratch.keep(likely(pairs, classes, percent), f"{name}-likely")
         needed = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).distinct()
         return scratch.keep(confirmed(found, texts.join(needed, "rep", "left_semi"), shingle, percent), name)
 
-    stars = shared.where((F.col("head.rep") < F.col("rep")) & fits(F.col("head.n"), F.col("n"))).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = groups.where((F.col("hub") != F.col("rep")) & fits(F.col("hub_n"), F.col("n"))).select(*pair("hub", "rep")).distinct()
     first = links(stars, "first")
     roots = scratch.keep(components(first, scratch, "one"), "roots")
 
-    # buckets with more than one component: all that is not of the largest meets the others
-    placed = shared.select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-    large = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c"))["c"].alias("large")).where("parts > 1").select("bucket", "large")
-    mixed = scratch.keep(placed.join(large, "bucket"), "mixed")
-    a = mixed.where("c <> large").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = mixed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), (F.col("c") == F.col("large")).alias("in_large"))
-    cross = a.join(b, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("in_large") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = links(cross.join(stars, ["a", "b"], "left_anti"), "second")
-    merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), scratch, "two")
+    # groups that still hold several components, their classes ordered by component
+    placed = groups.select("hub", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", F.coalesce("root", "rep").alias("c"))
+    of_group = placed.groupBy("hub").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and size > 2").select("hub", "size")
+    mixed = scratch.keep(placed.join(of_group, "hub"), "mixed")
+    few, many = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
+    x = few.select("hub", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    y = few.select("hub", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    cross = x.join(y, "hub").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("hub") != F.col("x")) & (F.col("hub") != F.col("y")) & fits(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    second = links(cross, "second")
+
+    place = F.row_number().over(W.partitionBy("hub").orderBy("c", "rep")) - 1
+    blocked = scratch.keep(many.withColumn("block", F.floor(place / BLOCK)).select("hub", "block", "rep", "n", "c"), "blocked")
+    blocks = blocked.groupBy("hub", "block").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    i, j = (blocks.select("hub", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns[1:])) for s in "ij")
+    one = (F.col("c0_i") == F.col("c1_i")) & (F.col("c0_j") == F.col("c1_j")) & (F.col("c0_i") == F.col("c0_j"))
+    apart = (F.col("n1_i") * 100 < F.col("n0_j") * percent) | (F.col("n1_j") * 100 < F.col("n0_i") * percent)
+    meet = i.join(j, "hub").where((F.col("block_i") <= F.col("block_j")) & ~one & ~apart).select("hub", "block_i", "block_j")
+    sides = [meet.join(blocked.withColumnRenamed("block", f"block_{s}"), ["hub", f"block_{s}"]).select("hub", "block_i", "block_j", F.lit(s).alias("side"), "rep", "c") for s in "ij"]
+    needed = scratch.keep(sides[0].unionByName(sides[1]), "meetings")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = [[], []]
+        for side, rep, c, text in zip(*(table.column(n).to_pylist() for n in ("side", "rep", "c", "text")), strict=True):
+            rows[side == "j"].append((rep, c, text))
+        found = joining(rows[0], rows[1], shingle, percent)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    third = scratch.keep(needed.join(texts, "rep").groupBy("hub", "block_i", "block_j").applyInArrow(compare, "a long, b long"), "third")
+    merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(third), scratch, "two")
 
     of_class = classes.select("key", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
