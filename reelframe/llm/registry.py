@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from reelframe.llm import additive_codes, chat_format, hamming_search, html_text, language_id, length_buckets, near_dups, toxicity, url_rules
+import corpus_pipeline
+from reelframe.llm import additive_codes, chat_format, hamming_search, html_text, language_id, length_buckets, near_dups, soft_mixing, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op3_additive_codes": additive_codes.query,
         "op4_html_text": html_text.query,
         "op5_length_buckets": length_buckets.query,
+        "op6_soft_mixing": soft_mixing.query,
         "op7_toxicity": toxicity.query,
         "op8_near_dups": near_dups.query,
         "op9_language_id": language_id.query,
         "op10_chat_format": chat_format.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
