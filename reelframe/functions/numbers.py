@@ -58,7 +58,7 @@ def humanize(n: Column) -> Column:
     out = F.when(v < 1024, n.cast("string"))
     for i, letter in enumerate("KMGTPE", start=1):
         x = v / F.lit(1024.0**i)
-        shown = F.when(x < 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", F.round(x)))
+        shown = F.when(x < 10, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.0f", F.round(x)))
         own = F.concat(shown, F.lit(letter))
         out = out.when(x < 1024, own) if letter != "E" else out.otherwise(own)
     return out
