@@ -47,9 +47,10 @@ def size(text: Column, most: int = U64_MAX) -> Column:
     """A positive number of bytes with an optional K, M, G or T (powers of 1024)."""
     power = F.instr(F.lit("KMGT"), F.upper(F.regexp_extract(text, "([kKmMgGtT])$", 1)))
     power = F.when(text.rlike("[kKmMgGtT]$"), power).otherwise(0)
-    scale = F.pow(F.lit(1024.0), power).cast("decimal(20,0)")
-    number = unsigned(F.regexp_extract(text, "^([0-9]*)[kKmMgGtT]?$", 1), 1)
-    return F.when(number <= F.floor(F.lit(str(most)).cast("decimal(38,0)") / scale), (number * scale).cast(U64))
+    wide = "decimal(38,0)"
+    scale = F.pow(F.lit(1024.0), power).cast("decimal(14,0)")
+    whole = unsigned(F.regexp_extract(text, "^([0-9]*)[kKmMgGtT]?$", 1), 1) * scale
+    return F.when(whole <= F.lit(str(most)).cast(wide), whole.cast(U64))
 
 
 def humanize(n: Column) -> Column:
