@@ -211,6 +211,9 @@ def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by a newline."""
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut >= 0 and ">" not in html[cut:] and re.match(r"[/!?a-zA-Z]", html[cut + 1 :]):
+        html = html[:cut]  # the page ends inside a tag
     parser = Lines()
     parser.feed(html)
     parser.close()
