@@ -254,6 +254,26 @@ def joining(left: list[tuple], right: list[tuple], k: int, percent: int) -> list
     return out
 
 
+BITS = 24
+
+
+def among(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Of ``rows`` (rep, ...), those whose rep may be in ``needed`` (rep).
+
+    A bitmap of 2 ** BITS hashed ids, 2 ** (BITS - 6) words at most whatever the
+    input, is broadcast and keeps most other rows out of the shuffle of the join that
+    follows; that join decides.
+    """
+
+    def place(rep: str) -> F.Column:
+        return F.pmod(F.xxhash64(rep), F.lit(1 << BITS))
+
+    bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
+    words = needed.select(place("rep").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    near = rows.withColumn("p", place("rep")).withColumn("word", F.floor(F.col("p") / 64)).join(F.broadcast(words), "word")
+    return near.where(F.col("mask").bitwiseAND(bit) != 0).drop("p", "word", "mask")
+
+
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``documents``: id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -276,8 +296,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         found = scratch.keep(likely(pairs, classes, percent), f"{name}-likely")
-        needed = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).distinct()
-        return scratch.keep(confirmed(found, texts.join(needed, "rep", "left_semi"), shingle, percent), name)
+        needed = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
+        return scratch.keep(confirmed(found, among(texts, needed), shingle, percent), name)
 
     stars = groups.where((F.col("hub") != F.col("rep")) & fits(F.col("hub_n"), F.col("n"))).select(*pair("hub", "rep")).distinct()
     first = links(stars, "first")
@@ -310,7 +330,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         found = joining(rows[0], rows[1], shingle, percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    third = scratch.keep(needed.join(texts, "rep").groupBy("hub", "block_i", "block_j").applyInArrow(compare, "a long, b long"), "third")
+    third = scratch.keep(needed.join(among(texts, needed.select("rep")), "rep").groupBy("hub", "block_i", "block_j").applyInArrow(compare, "a long, b long"), "third")
     merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(third), scratch, "two")
 
     of_class = classes.select("key", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
