@@ -30,3 +30,24 @@ def parse_keys(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     return parse_keys(spark.read.text(path, wholetext=True))
+
+
+def parse_secret_key(text: str) -> tuple[bytes, bytes]:
+    """(key id, seed) of a secret key file without a passphrase; one with a passphrase is an error.
+
+    The payload: algorithm, key derivation, rounds, salt, checksum, key id, seed and public key.
+    """
+    import base64
+    import hashlib
+
+    lines = text.split("\n")
+    if not lines[0].startswith(COMMENT) or len(lines) < 2:
+        raise ValueError("no comment line")
+    raw = base64.b64decode(lines[1], validate=True)
+    if len(raw) != 104 or raw[:2] != ALGORITHM or raw[2:4] != b"BK":
+        raise ValueError("not a secret key")
+    if int.from_bytes(raw[4:8], "big"):
+        raise ValueError("the key has a passphrase")
+    if hashlib.sha512(raw[40:]).digest()[:8] != raw[24:32]:
+        raise ValueError("the key's checksum is wrong")
+    return raw[32:40], raw[40:72]
