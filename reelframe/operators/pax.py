@@ -28,13 +28,14 @@ def member(path: bytes, kind: str, data: bytes | None, mtime: int, uid: int, gid
 
 def pax_members(entries: DataFrame) -> DataFrame:
     """Adds member to entries with path, kind, data, mtime, uid, gid, uname, gname and link."""
+    names = entries.columns
     needs = ["path", "kind", "data", "mtime", "uid", "gid", "uname", "gname", "link"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(n).to_pylist() for n in needs), strict=True)
             made = [member(p, k, d, m or 0, u or 0, g or 0, un or "", gn or "", ln or b"") for p, k, d, m, u, g, un, gn, ln in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*entries.columns, "member"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*names, "member"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
     return entries.mapInArrow(run, f"{schema}, member binary")
