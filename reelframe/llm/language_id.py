@@ -204,13 +204,18 @@ class Model:
 def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out: int = 5, docs: int = TRAIN_DOCS) -> Model:
     """Learn from rows with a language whose crc32(id) mod ``hold_out`` is not 0."""
     at = F.xxhash64(id_col)
+    able = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, hold_out) != 0)
+    # counts by language say which hashes are small enough to look at, so no language goes to one task whole
+    many = {r[0]: r[1] for r in documents.where(able).groupBy(lang_col).count().collect()}
+    if not many:
+        return Model([], None)
+    cut = F.create_map(*(F.lit(v) for lang, n in many.items() for v in (lang, 4.0 * docs / n)))
     rows = (
-        documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, hold_out) != 0))
+        documents.where(able)
         .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.length(text_col).alias("n"), F.col(text_col).alias("t"))
-        .where("n > 0")
+        .where((F.col("at") / F.lit(2.0**64) + 0.5 < F.element_at(cut, F.col("lang"))) & (F.col("n") > 0))
         .select("id", "lang", "at", F.expr(f"substring(t, cast(1 + pmod(at, greatest(1, n - {TRAIN_BYTES} + 1)) as int), {TRAIN_BYTES})").alias("part"))
     )
-    # the smallest hashes of each language, first in each task: an aggregate of rising numbers would hold more
     top = W.partitionBy("lang").orderBy("at", "id", "part")
     rows = rows.withColumn("k", F.row_number().over(top)).where(F.col("k") <= docs).select("lang", "at", "part").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["part"]))
