@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import Scratch, read
 
 BOOKS, WORDS, BEAM = 32, 64, 6
-FIT_ROWS, ROUNDS = 12_288, 2
-K, SHORTLIST = 20, 200
+FIT_ROWS, ROUNDS, FIT_BEAM = 16_384, 3, 4
+K, SHORTLIST = 20, 300
 QUERY_BLOCK, CODE_BLOCK, CODE_GROUP = 256, 8192, 256
 
 
@@ -49,7 +49,7 @@ class Codebooks:
         self.c = c.astype(np.float32)  # (books, words, dimensions)
 
     @classmethod
-    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, rounds: int = ROUNDS, seed: int = 5) -> Codebooks:
+    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = FIT_BEAM, rounds: int = ROUNDS, seed: int = 5) -> Codebooks:
         rng, rest = np.random.default_rng(seed), x.astype(np.float32).copy()
         words, levels = max(1, min(words, len(x))), []
         for _ in range(books):
@@ -68,10 +68,16 @@ class Codebooks:
             codes = self.encode(x, beam)
             # all codewords at once: min |A C - x|, A the one-hot rows of the codes
             size = books * words
-            at = codes.astype(np.int64) + np.arange(books) * words
-            hot = np.zeros((len(x), size), np.float32)
-            hot[np.arange(len(x))[:, None], at] = 1
-            gram, right = (hot.T @ hot).astype(np.float64), (hot.T @ x).astype(np.float64)
+            gram, right = np.zeros((size, size)), np.zeros((size, x.shape[1]))
+            for i in range(books):
+                rows = slice(i * words, (i + 1) * words)
+                one = np.zeros((len(x), words), np.float32)
+                one[np.arange(len(x)), codes[:, i]] = 1
+                right[rows] = one.T @ x
+                for j in range(i, books):
+                    block = np.bincount(codes[:, i].astype(np.int64) * words + codes[:, j], minlength=words * words).reshape(words, words)
+                    gram[rows, j * words : (j + 1) * words] = block
+                    gram[j * words : (j + 1) * words, rows] = block.T
             own = self.c.reshape(size, -1).astype(np.float64)
             self = cls(np.linalg.solve(gram + 0.1 * np.eye(size), right + 0.1 * own).reshape(self.c.shape))
         return self
