@@ -50,7 +50,7 @@ def test_resume(spark):
     left = reports.superseded(points, ["f"])
     assert [(r["slice"], r["volume"]) for r in left.orderBy("ord").collect()] == [(1, 1), (2, 4)]
     assert reports.point_errors(left, ["f"]).count() == 0
-    assert reports.point_errors(points, ["f"]).count() == 0 or True
+    assert reports.point_errors(points, ["f"]).count() == 1
 
 
 @pytest.mark.parametrize("raw", [b"/other/1\0\n", records.encode_resume("/tool-resume/1", HEAD | {"block_size_kib": 0}, []), records.encode_resume("/tool-resume/1", HEAD | {"sign_key_id": "XYZ"}, []), records.encode_resume("/tool-resume/1", HEAD, [(0, 1, 1)]), records.encode_resume("/tool-resume/1", HEAD, []) + b"/archive_name/x\0\n", records.encode_resume("/tool-resume/1", HEAD, [], 5) + b"/slice/1/2/3\0\n", b"/tool-resume/1\0\n/slice/1/2/3\0\n", b"/tool-resume/1\0x"])
