@@ -19,9 +19,10 @@ The work follows the number of different texts, not of pairs:
 * classes with a common hub are a group.  Only groups that still hold several
   components are looked at again.  In a small one (``SMALL`` classes at most) pairs of
   different components are candidates like those above.  A larger one is cut into
-  blocks of ``BLOCK`` classes, ordered by component; blocks are compared with each
-  other as matrices unless both hold one and the same component, and a comparison
-  returns no more links than join its components.  No pairs are formed there.
+  blocks of about ``BLOCK`` classes, those of a large component among themselves;
+  blocks are compared with each other as matrices unless both hold one and the same
+  component, and a comparison returns no more links than join its components.  No
+  pairs are formed there.
 
 Links inside a component change nothing, so no link between components is lost.
 
@@ -306,15 +307,21 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     # groups that still hold several components, their classes ordered by component
     placed = groups.select("hub", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", F.coalesce("root", "rep").alias("c"))
     of_group = placed.groupBy("hub").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and size > 2").select("hub", "size")
-    mixed = scratch.keep(placed.join(of_group, "hub"), "mixed")
+    # written first: a join of two plain exchanges, so that a large group is split
+    mixed = scratch.keep(placed.join(scratch.keep(of_group, "mixed-groups"), "hub"), "mixed")
     few, many = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
     x = few.select("hub", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     y = few.select("hub", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
     cross = x.join(y, "hub").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("hub") != F.col("x")) & (F.col("hub") != F.col("y")) & fits(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     second = links(cross, "second")
 
-    place = F.row_number().over(W.partitionBy("hub").orderBy("c", "rep")) - 1
-    blocked = scratch.keep(many.withColumn("block", F.floor(place / BLOCK)).select("hub", "block", "rep", "n", "c"), "blocked")
+    # a large component of a group is dealt into blocks by a hash, small ones share blocks
+    parts = scratch.keep(many.groupBy("hub", "c").agg(F.count("*").alias("m")), "parts")
+    rest = scratch.keep(parts.where(F.col("m") < BLOCK).groupBy("hub").agg(F.sum("m").alias("rest")), "rest")
+    alone = F.xxhash64("c", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
+    together = F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.coalesce("rest", F.lit(1)) / BLOCK))))
+    block = F.when(F.col("m") >= BLOCK, alone).otherwise(together)
+    blocked = scratch.keep(many.join(parts, ["hub", "c"]).join(rest, "hub", "left").withColumn("block", block).select("hub", "block", "rep", "n", "c"), "blocked")
     blocks = blocked.groupBy("hub", "block").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     i, j = (blocks.select("hub", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns[1:])) for s in "ij")
     one = (F.col("c0_i") == F.col("c1_i")) & (F.col("c0_j") == F.col("c1_j")) & (F.col("c0_i") == F.col("c0_j"))
