@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.operators.lookups import signatures
+from reelframe.operators.packing import running
 from reelframe.operators.validate import validate_frames
 from reelframe.sources.frames import ARCHIVE_END, CONTENT, METADATA, check_frames, has_magic, parse_headers, payload
 
@@ -176,6 +177,8 @@ def connection_summary(log: DataFrame, conn: str = "connection", acks: str = "ac
 
 
 def volume_ordinals(log: DataFrame, order: str = "connection", acks: str = "acked") -> DataFrame:
-    """Adds volume: how many earlier connections had acknowledged frames (a log has a row per connection)."""
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return log.withColumn("volume", F.coalesce(F.count_if(F.col(acks) > 0).over(before), F.lit(0)))
+    """Adds volume: how many earlier connections had acknowledged frames (a log has a row per connection).
+
+    ``order`` is a long; the count runs over ranges of it, not in one task.
+    """
+    return running(log, [F.col(order)], (F.col(acks) > 0).cast("int"), "volume")
