@@ -6,8 +6,8 @@ open elements.  Lines under elements that cannot hold the article (menus, page h
 and footers, sidebars, forms, notices, adverts, reader comments, hidden elements; by
 element name, role, class or id) count as tags without text.  A line's ratio is
 characters by tags.  The ratios are smoothed with a Gaussian over neighbouring lines
-and split into two clusters by one-dimensional 2-means; lines of the upper cluster
-select the region: the article or main elements around them, or, where there are
+and split into two clusters by one-dimensional 2-means; lines of the upper cluster, and
+first headings, select the region: the article or main elements around them, or, where there are
 none, the lowest element that holds them all.  All text of the region is returned,
 short lines included, except what those boilerplate elements hold.
 
@@ -48,8 +48,12 @@ MARKED = set(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription paywall "
     "sidebar sidebars aside nav navbar navigation navi menu menus breadcrumb breadcrumbs footer footnav masthead topbar "
     "comment comments commentlist respond replies disqus share sharing social related recommended recommendations "
-    "widget widgets toolbar pagination pager skip login signup search legal copyright disclaimer".split()
+    "widget widgets toolbar pagination pager skip login signup search legal copyright disclaimer adsbygoogle".split()
 )
+#: A class name that starts so tells of the page around an element (has-sidebar, menu-open), not of the element.
+AROUND = set("has with no without is layout page body wrap wrapper".split())
+#: Beside a word for a header, these say that it is the article's own.
+OWN = set("article post entry content story".split())
 HEADS = set("header head banner masthead topbar".split())
 MAIN = set("article main".split())
 WORDS = re.compile(r"[a-z]+")
@@ -103,12 +107,14 @@ class Lines(HTMLParser):
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
             if name in ("class", "id"):
-                words.update(WORDS.findall(value))
+                for part in map(WORDS.findall, value.split()):
+                    if part and part[0] not in AROUND:
+                        words.update(part)
         if tag in ("html", "body", "main"):
             return False
         if tag == "article":
             return bool(words & {"comment", "comments", "related", "promo", "sponsored", "ad", "advert"})
-        return bool(words & MARKED) or not inside and bool(words & HEADS) and tag not in ("h1", "h2")
+        return bool(words & MARKED) or not inside and bool(words & HEADS) and not words & OWN and tag not in ("h1", "h2")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS
@@ -185,12 +191,19 @@ def threshold(values: list[float]) -> float:
     return (lo + hi) / 2
 
 
+def titled(e: Element) -> bool:
+    """Under a first heading; one of the page's own header is not there to be seen."""
+    while e.parent and e.tag != "h1":
+        e = e.parent
+    return e.tag == "h1"
+
+
 def region(lines: list[Line]) -> set[Element]:
     """The elements that hold the content."""
     ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
     cut = threshold(ratios)
     full = [(x, r) for x, r in zip(lines, ratios, strict=True) if x.text]
-    chosen = [x.at for x, r in full if r >= cut] or [x.at for x, _ in full]
+    chosen = [x.at for x, r in full if r >= cut or titled(x.at)] or [x.at for x, _ in full]
     mains = {e.main for e in chosen if e.main}
     if mains:
         return mains

@@ -120,6 +120,8 @@ def test_html_cases():
     assert html_text.main_text("only text &eacute;") == "only text é"
     divs = "<body><div id=menu><a>a</a><a>b</a></div><div><div><p>" + "long text " * 20 + "</p><p>b.</p></div></div><div class=footer>f</div></body>"
     assert html_text.main_text(divs) == ("long text " * 20).strip() + "\nb."
+    classes = '<div class="layout has-sidebar"><div class="post-header"><h1>T</h1></div><div class="entry"><p>' + "text " * 30 + '</p></div><div class="sidebar">s</div><div class="header">h</div></div>'
+    assert html_text.main_text(classes) == "T\n" + ("text " * 30).strip()
     assert html_text.main_text("<article><p>" * 3000 + "deep") == "deep"
     assert html_text.main_text("<article><p>cut off in a tag <b") == "cut off in a tag"
 
