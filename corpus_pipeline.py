@@ -34,10 +34,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles) the smallest id stays.
 
-    Repeated rows of one id are one document.
+    Repeated rows of one id are one document; so are those without an id that have one text.
     """
-    kept = near_dups.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    gone = near_dups.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("own", F.when(F.col("doc_id").isNull(), F.col("text")))
+    return left.dropDuplicates(["doc_id", "own"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

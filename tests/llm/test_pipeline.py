@@ -32,9 +32,11 @@ def test_stages_on_odd_rows(spark, sf):
 
 def test_near_duplicates_keep_one_of_each_group(spark, sf):
     rows = [(i, "one two three four five six seven " + ("x" if i < 4 else str(i) * 3), "en", "s", 1) for i in range(8)] + [(2, "one two three four five six seven x", "en", "s", 1)]
+    rows += [(None, "no id", "en", "s", 1), (None, "nor this", "en", "s", 1), (None, "no id", "en", "s", 1)]
     docs = spark.createDataFrame(rows, read(spark, sf, "documents").schema)
-    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
-    assert got == [0, 4, 5, 6, 7]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(i for i, _ in got if i is not None) == [0, 4, 5, 6, 7]
+    assert sorted(t for i, t in got if i is None) == ["no id", "nor this"]
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
