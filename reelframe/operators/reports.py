@@ -22,17 +22,19 @@ def after_prefix(records: DataFrame, magic: Column, order: list[str], keys: list
     return records.withColumn("__seen", seen).where("__seen").drop("__seen")
 
 
-def frame_report(records: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, mode: str = "inspect", verify: DataFrame | None = None, required: bool = False, domain: bytes = b"") -> DataFrame:
+def frame_report(records: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, mode: str = "inspect", verify: DataFrame | None = None, required: bool = False, domain: bytes = b"", per_archive: bool = False) -> DataFrame:
     """Records of media to one judged row per frame, without the record's bytes.
 
-    keys: the columns of a medium or archive.  Foreign records before the first frame are left out.
+    keys: the columns of a medium.  Foreign records before the first frame are left out.
+    per_archive: each archive of a medium is judged by itself; else a second one breaks
+    the rules of the first.
     """
     keys, order = keys or [], order or MEDIA
     marked = records.withColumn("medium", F.lit(0)) if not keys else records
     keys = keys or ["medium"]
     frames = after_prefix(marked, has_magic(F.col("record")), order, keys)
     checked = check_frames(parse_headers(frames)).drop("record")
-    judged = validate_frames(checked, keys, order, mode)
+    judged = validate_frames(checked, [*keys, "archive_uuid"] if per_archive else keys, order, mode)
     return signatures(judged, verify, required, domain)
 
 

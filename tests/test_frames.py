@@ -209,6 +209,14 @@ def test_archive_report_and_restore(spark, tmp_path):
     assert "error" in [r["status"] for r in reports.frame_report(media.where("rec_idx <> 1")).collect()]
 
 
+def test_two_archives_on_a_medium(spark):
+    a = archive(spark, [b"one"])
+    b = build_records(with_archive_end(spark.createDataFrame([(0, 0, 1, 0, 0, 3, True, b"two")], "volume_seq_num long, global_frame_seq_num long, channel_type int, slice_seq_num long, channel_frame_seq_num long, frame_payload_size long, is_end boolean, payload binary")), 4096, "other", b"t")
+    both = a.unionByName(b.selectExpr("9 AS file_num", "global_frame_seq_num AS rec_idx", "record"))
+    assert {r["status"] for r in reports.frame_report(both, per_archive=True).collect()} == {"ok"}
+    assert [r["status"] for r in reports.frame_report(both).orderBy("file_num", "rec_idx").collect()][2:] == ["error", "error"]
+
+
 def test_signatures(spark):
     seed, key_id = bytes(range(32)), b"keyid..8"
     media = archive(spark, [b"abc"], seed, key_id)
