@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import Scratch
 
 
-def _hang(edges: DataFrame) -> DataFrame:
-    """(u, v) -> (v, m), m the smallest of u and its neighbours."""
+def _hang(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(u, v, m), m the smallest of u and its neighbours.
+
+    The minima are written first, so the join has two plain sides and a hub is split.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(scratch.keep(least, name), "u")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -34,11 +37,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while seen[0]:
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _hang(large)
+        large = _hang(both, scratch, f"{name}-large-{turn}").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.keep(large, f"{name}-between-{turn}")
+        small = _hang(large, scratch, f"{name}-small-{turn}")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         then = scratch.keep(small, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-{turn - 1}", *(f"{name}-{step}-{turn}" for step in ("large", "between", "small")))
         now, before, seen = then, seen, state(then)
         if seen == before:
             break
