@@ -9,13 +9,22 @@ of rate x tokens x posterior_k and T_k the target,
     sum_k (S_k - T_k)^2 / (T x mass_k)  +  RIDGE x sum of tokens x (rate - 1)^2,
 
 mass_k the domain's tokens at rate 1 and T the whole.  The second term is small and
-picks, of all rates that match, those next to 1.
+picks, of all rates that match, those next to 1.  Rates have no upper bound: a rare
+domain gets what its target takes.
+
+At the least value, rate = max(0, 1 + posterior . pull), one pull per domain.  Each step
+moves the pulls along the gradient, scaled by the second derivatives over the documents
+whose rate is not 0, and projects the rates onto >= 0; a step is halved until it descends.
+Steps go on until the gradient vanishes, and more than ``STEPS`` are an error.  If a
+target is then missed by more than ``NEAR`` of itself, the second term is made smaller,
+down to ``LEAST_RIDGE``.  Where that does not reach it either, no sensible rates match: the rates are
+those at RIDGE, ``targets_met`` is false in every row, and a warning gives the shares.
 
 The classifier is naive Bayes with Gaussian features of the text (share of symbols,
 capitals, blanks and stops, distinct lines), its log odds divided by ``TEMPER``
 because the features depend on each other.  Its parameters are one aggregate of the
 labelled rows.  Posteriors are rounded to multiples of 1 / ``GRID``; documents with one
-rounded posterior share a rate, so the sums of a gradient step run over the documents
+rounded posterior share a rate, so the sums of a step run over the documents
 summed up by posterior beforehand, a number of rows that ``GRID`` and the domains bound.
 
 Only DataFrame functions are used: no Python runs on the executors.
@@ -30,7 +39,9 @@ copies; a null id is never labelled; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +49,9 @@ from reelframe.llm.common import Scratch, read
 from reelframe.llm.length_buckets import word_count
 
 GRID, TEMPER, RIDGE = 256, 3.0, 1e-4
+LEAST_RIDGE, NEAR = 1e-10, 1e-3
 STEPS, CLOSE = 200, 1e-7
-MOST_RATE = 4.0
+MOST_RATE = math.inf  # rates are bounded below only
 #: Share of the tokens that each value of labels.quality is to have.
 TARGETS = {0: 0.05, 1: 0.95}
 SYMBOLS = "#*%$&|=+<>{}[]_~^!?"
@@ -87,41 +99,72 @@ def share(p: Column, k: int) -> Column:
     return F.get(p, F.lit(k)) / F.greatest(F.lit(1), F.aggregate(p, F.lit(0), lambda s, v: s + v))
 
 
-def rate(p: Column, history: list[list[float]], step: float) -> Column:
-    """The rate after the gradient steps so far: history holds each step's residuals by domain."""
-    if not history:
-        return F.lit(1.0)
-    past = F.array(*(F.array(*(F.lit(float(v)) for v in e)) for e in history))
-    parts = [share(p, k) for k in range(len(history[0]))]
-
-    def move(r: Column, e: Column) -> Column:
-        g = sum((parts[k] * F.get(e, F.lit(k)) for k in range(1, len(parts))), parts[0] * F.get(e, F.lit(0)))
-        return F.greatest(F.lit(0.0), F.least(F.lit(MOST_RATE), r - F.lit(step) * (g + F.lit(RIDGE) * (r - 1))))
+def rate(p: Column, pulls: list[float]) -> Column:
+    """The rate of a posterior: nonnegative, 1 without pulls."""
+    return F.greatest(F.lit(0.0), sum((share(p, k) * F.lit(float(v)) for k, v in enumerate(pulls)), F.lit(1.0)))
 
-    return F.round(F.aggregate(past, F.lit(1.0), move), 9)
 
-
-def solve(cells: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Residuals of each step of the projected gradient; cells: p, tokens."""
+def solve(cells: DataFrame, targets: list[float]) -> tuple[list[float], list[float], bool]:
+    """Pulls, expected shares of the tokens, and whether these are the targets; cells: p, tokens."""
     k = len(targets)
-    sums = [F.sum(F.col("tokens") * share(F.col("p"), i)).alias(f"s{i}") for i in range(k)]
-    first = cells.agg(*sums, F.sum("tokens").alias("t")).first()
+    part = [share(F.col("p"), i) for i in range(k)]
+    first = cells.agg(*(F.sum(F.col("tokens") * c).alias(f"s{i}") for i, c in enumerate(part)), F.sum("tokens").alias("t")).first()
     whole = float(first["t"] or 0)
     if not whole:
-        return []
-    mass = [float(first[f"s{i}"]) / whole for i in range(k)]
-    goal = [t / sum(targets) for t in targets]
-    now, history = mass, []
+        return [0.0] * k, [0.0] * k, True
+    mass = np.array([float(first[f"s{i}"]) / whole for i in range(k)])
+    goal = np.array(targets, float) / sum(targets)
+    # a domain without tokens cannot be matched and gives no direction
+    live = [i for i in range(k) if mass[i] > 0]
+    pairs = [(a, b) for a in range(len(live)) for b in range(a + 1)]
+    m, g = mass[live], goal[live]
+
+    def look(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the weighted squares of the rates, the domains' shares, and the shares' derivatives."""
+        pulls = np.zeros(k)
+        pulls[live] = x
+        held = cells.select((F.col("tokens") / F.lit(whole)).alias("w"), rate(F.col("p"), pulls).alias("r"), *(part[i].alias(f"p{a}") for a, i in enumerate(live)))
+        w, r, p = F.col("w"), F.col("r"), [F.col(f"p{a}") for a in range(len(live))]
+        row = held.agg(F.sum(w * r * r / 2), *(F.sum(w * r * c) for c in p), *(F.sum(F.when(r > 0, w * p[a] * p[b]).otherwise(F.lit(0.0))) for a, b in pairs)).first()
+        second = np.zeros((len(live), len(live)))
+        for (a, b), v in zip(pairs, row[1 + len(live) :], strict=True):
+            second[a, b] = second[b, a] = v
+        return row[0], np.array(row[1 : 1 + len(live)]), second
+
+    def met(s: np.ndarray) -> bool:
+        return bool(len(live) == np.count_nonzero(goal + mass) and np.all(np.abs(s - g) <= NEAR * np.where(g > 0, g, m)))
+
+    x, ridge, at_ridge = np.zeros(len(live)), RIDGE, None
+    now = look(x)
     for _ in range(STEPS):
-        # a domain without tokens cannot be matched and gives no direction
-        e = [(s - g) / m if m > 0 else 0.0 for s, g, m in zip(now, goal, mass, strict=True)]
-        if history and max(abs(a - b) for a, b in zip(e, history[-1], strict=True)) < CLOSE:
-            break
-        history.append(e)
-        r = rate(F.col("p"), history, 1 / (1 + RIDGE))
-        row = cells.select("p", (F.col("tokens") * r).alias("tokens")).agg(*sums).first()
-        now = [float(row[f"s{i}"]) / whole for i in range(k)]
-    return history
+        gradient = now[1] + ridge * m * x - g
+        done = np.max(np.abs(gradient) / m) < CLOSE
+        if not done:
+            move = -np.linalg.solve(now[2] + ridge * np.diag(m), gradient)
+            value, size = now[0] + ridge * (m @ (x * x)) / 2 - g @ x, 1.0
+            while not done:
+                to = x + size * move
+                then = look(to)
+                if then[0] + ridge * (m @ (to * to)) / 2 - g @ to <= value + 1e-4 * size * (gradient @ move):
+                    x, now = to, then
+                    break
+                size /= 2
+                done = size < 1e-9  # the numbers' precision ends here
+        if done:
+            at_ridge = at_ridge or (x, now[1])
+            if met(now[1]):
+                break
+            if ridge <= LEAST_RIDGE:
+                x, now = at_ridge[0], (0.0, at_ridge[1])
+                break
+            ridge /= 100
+    else:
+        raise RuntimeError(f"the rates did not converge in {STEPS} steps")
+    pulls, shares = np.zeros(k), np.zeros(k)
+    pulls[live], shares[live] = x, now[1]
+    if not met(now[1]):
+        warnings.warn(f"the rates miss the targets {goal.tolist()}: expected shares are {shares.tolist()}", stacklevel=2)
+    return pulls.tolist(), shares.tolist(), met(now[1])
 
 
 def draw(id_col: Column, r: Column) -> Column:
@@ -131,7 +174,7 @@ def draw(id_col: Column, r: Column) -> Column:
 
 
 def mix(documents: DataFrame, labels: DataFrame, *, labelled: DataFrame | None = None, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (the id if none) with n_tokens, posterior, rate and copies.
+    """The columns ``keep`` (the id if none) with n_tokens, posterior, rate, copies and targets_met.
 
     labels: id and label; targets: share of the tokens for each label.  posterior
     follows the order of the targets' labels.  labelled: the table that the labelled
@@ -150,16 +193,16 @@ def mix(documents: DataFrame, labels: DataFrame, *, labelled: DataFrame | None =
     x = [F.col(c) for c in narrow.columns if c.startswith("x")]
     model = fit(narrow if labelled is None else featured(labelled), labels, id_col, label_col, domains)
     cells = scratch.keep(narrow.groupBy(posterior(x, model).alias("p")).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    history = solve(cells, [targets[d] for d in domains])
+    pulls, _, reached = solve(cells, [targets[d] for d in domains])
 
     # a rate for each posterior; at most as many rows as the grid has points
-    rates = cells.select("p", rate(F.col("p"), history, 1 / (1 + RIDGE)).alias("rate"))
+    rates = cells.select("p", F.round(rate(F.col("p"), pulls), 9).alias("rate"))
     if keep == [id_col]:
         source = narrow.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), "n_tokens", *x)
     else:
         source = documents.select(*keep, tokens, *(c.alias(f"x{i}") for i, c in enumerate(features(F.col(text_col)))))
     out = source.withColumn("p", posterior(x, model)).join(F.broadcast(rates), "p")
-    return out.select(*keep, "n_tokens", F.transform("p", lambda v: v / F.lit(GRID)).alias("posterior"), "rate", draw(F.col(id_col), F.col("rate")).alias("copies"))
+    return out.select(*keep, "n_tokens", F.transform("p", lambda v: v / F.lit(GRID)).alias("posterior"), "rate", draw(F.col(id_col), F.col("rate")).alias("copies"), F.lit(reached).alias("targets_met"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelframe.llm import length_buckets, soft_mixing
@@ -116,3 +117,41 @@ def test_mixing_odd_rows(spark):
     assert len({tuple(r["posterior"]) for r in none}) == 1
     three = soft_mixing.mix(docs, labels, targets={0: 1, 1: 1, 2: 1}).collect()
     assert len(three) == len(got) and all(r["posterior"][2] == 0 for r in three)
+
+
+def rare_documents(spark, odd, rare, plain):
+    """Two domains that texts tell apart; ``rare`` documents, whose text is odd, belong to domain 0."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(odd if i < rare else plain) for _ in range(50)) for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i >= rare)) for i in range(1000)], "doc_id long, quality int")
+
+
+def token_shares(got):
+    whole = sum(g["n_tokens"] for g in got)
+    return np.array([[g["rate"] * g["n_tokens"] * v for v in g["posterior"]] for g in got]).sum(axis=0) / whole
+
+
+def test_mixing_reaches_the_targets_of_a_rare_domain(spark):
+    docs, labels = rare_documents(spark, ["#*%", "{}=", "<>", "a"], 10, ["word", "Another", "thing."])
+    for targets in ({0: 0.5, 1: 0.5}, {0: 0.9, 1: 0.1}):
+        got = soft_mixing.mix(docs, labels, targets=targets).collect()
+        assert np.allclose(token_shares(got), [targets[0], targets[1]], rtol=2e-3)
+        assert all(g["targets_met"] for g in got) and max(g["rate"] for g in got) > 45
+        assert all(abs(g["copies"] - g["rate"]) < 1 for g in got)
+
+
+def test_mixing_converges_for_a_weak_classifier(spark):
+    docs, labels = rare_documents(spark, ["word", "Another", "thing."], 500, ["word", "Another", "thing", "thing."])
+    base = token_shares([{**g.asDict(), "rate": 1.0} for g in soft_mixing.mix(docs, labels).collect()])
+    for by in (0.02, 0.1):
+        goal = {0: base[0] + by, 1: base[1] - by}
+        got = soft_mixing.mix(docs, labels, targets=goal).collect()
+        assert np.allclose(token_shares(got), [goal[0], goal[1]], rtol=2e-3) and all(g["targets_met"] for g in got)
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    docs, labels = rare_documents(spark, ["#*%", "{}="], 10, ["word", "thing."])
+    with pytest.warns(UserWarning, match="miss the targets"):
+        got = soft_mixing.mix(docs, labels, targets={0: 0.4, 1: 0.4, 2: 0.2}).collect()
+    assert len(got) == 1000 and not any(g["targets_met"] for g in got)
