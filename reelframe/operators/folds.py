@@ -16,13 +16,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[dict], Any], step: Callable[[Any, dict], tuple], adds: T.StructType, inputs: list[str] | None = None) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[dict], Any], step: Callable[[Any, dict], tuple], adds: T.StructType, inputs: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``rows`` with the columns ``adds``, what ``step(state, row)`` returns for each.
 
     start: makes the state from a key's first row.  inputs: the columns that step
-    reads; all if not given.
+    reads; all if not given.  keep: the columns of ``rows`` in the result; all if not given.
     """
-    names, inputs = rows.columns, inputs or rows.columns
+    names, inputs = rows.columns if keep is None else keep, inputs or rows.columns
     types = [to_arrow_type(f.dataType) for f in adds.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +39,8 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Call
                     key, state = own, start(row)
                 out.append(step(state, row))
             new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, *adds.names])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=[*names, *adds.names])
 
     dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
-    schema = T.StructType([*rows.schema.fields, *adds.fields])
+    schema = T.StructType([*(rows.schema[n] for n in names), *adds.fields])
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reelframe.operators.folds import ordered_fold
 from reelframe.operators.lookups import signatures
 from reelframe.operators.packing import running
 from reelframe.operators.validate import validate_frames
@@ -126,6 +129,25 @@ def join_payloads(frames: DataFrame, keys: list[str], order: str, data: str, mos
     return held.select(*keys, F.when(F.col("__bytes") > most, F.raise_error(F.lit("stream too large for one value"))).otherwise(whole).alias(data))
 
 
+def stream_digests(frames: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
+    """SHA-256, in hex, of each key's payloads in order, of streams of any length.
+
+    A fold holds one batch and the hash; the rows it returns are narrow.  Null payloads
+    add nothing; a stream of nulls only has a null digest.
+    """
+
+    def step(state: list, row: dict) -> tuple:
+        state[0] += 1
+        if row[data] is not None:
+            state[1] = state[1] or hashlib.sha256()
+            state[1].update(row[data])
+        return state[0], state[1] and state[1].hexdigest()
+
+    adds = T.StructType([T.StructField("__n", T.LongType()), T.StructField("digest", T.StringType())])
+    rows = ordered_fold(frames.select(*keys, order, data), keys, [order, data], lambda _: [0, None], step, adds, [data], keep=keys)
+    return rows.groupBy(*keys).agg(F.max_by("digest", "__n").alias("digest"))
+
+
 def restorable(records: DataFrame, report: DataFrame, metadata: bool = False) -> DataFrame:
     """(global_frame_seq_num, slice_seq_num, payload) of the frames that a report accepts."""
     good = report.where(F.col("status").isin("ok", *(["warning"] if not metadata else [])) & (F.col("channel_type") == (METADATA if metadata else CONTENT)))

@@ -223,8 +223,7 @@ def key_lookup(spark, sf_dir):
 @query("SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def restore_digest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").cast("binary").alias("payload"))
-    whole = reports.join_payloads(docs, ["source"], "doc_id", "payload", most=1 << 30)
-    return whole.select("source", F.sha2("payload", 256).alias("digest"))
+    return reports.stream_digests(docs, ["source"], "doc_id", "payload")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity <= 45 AND l_returnflag <> 'R' AND l_linestatus = 'O'")

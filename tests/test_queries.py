@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -30,6 +31,17 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert sorted(repr(plain(r)) for r in got.select(*columns).collect()) == want
 
 
+def test_restore_digest_holds_no_stream(spark, tmp_path):
+    rows = [(i * 7 % 3000, f"text {i} " * 20, "hot") for i in range(3000)] + [(1, "b", "odd"), (1, "a", "odd"), (2, None, "odd"), (3, "", "odd"), (4, "ü", None), (5, None, "void"), (6, "", "bare")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.restore_digest(spark, str(tmp_path))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    hot = "".join(t for _, t, s in sorted(rows[:3000]))
+    assert {r["source"]: r["digest"] for r in got.collect()} == {"hot": sha(hot), "odd": sha("ab"), None: sha("ü"), "void": None, "bare": sha("")}
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "raise_error" not in plan
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 
