@@ -34,11 +34,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles) the smallest id stays.
 
-    Repeated rows of one id are one document; so are those without an id that have one text.
+    Rows of one id and one text are one document; so are those without an id that have
+    one text.  Different texts under one id are documents of their own: they are then
+    numbered in the order of their ids, and judged by their numbers.
     """
-    gone = near_dups.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("own", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return left.dropDuplicates(["doc_id", "own"]).select(*COLUMNS)
+    own = F.coalesce(F.md5("text"), F.lit("")).alias("own")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", own)
+    if texts.groupBy("doc_id").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a < b").isEmpty():
+        rows = docs.withColumn("n", F.col("doc_id"))
+    else:
+        scratch = Scratch(spark, "texts")
+        ordered = texts.distinct().repartitionByRange("doc_id", "own").sortWithinPartitions("doc_id", "own")
+        numbers = scratch.keep(ordered.withColumn("n", F.monotonically_increasing_id()), "numbers")
+        rows = scratch.keep(docs.withColumn("own", own).join(numbers, ["doc_id", "own"], "left").select(*COLUMNS, "n"), "numbered")
+    gone = near_dups.near_duplicates(rows, id_col="n", shingle=5).where("not kept").select("n").distinct()
+    left = rows.join(gone, "n", "left_anti").withColumn("own", F.when(F.col("n").isNull(), F.col("text")))
+    return left.dropDuplicates(["n", "own"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_near_duplicates_keep_one_of_each_group(spark, sf):
     assert sorted(t for i, t in got if i is None) == ["no id", "nor this"]
 
 
+def test_near_duplicates_judge_each_text_of_an_id(spark, sf):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty"
+    rows = [(1, near), (2, near + " forty"), (2, "quite another text under the same number two"), (2, None), (3, near), (3, "first of three"), (3, "second of three"), (3, "second of three"), (None, near), (None, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], read(spark, sf, "documents").schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(got, key=repr) == sorted([(1, near), (2, rows[2][1]), (2, None), (3, "first of three"), (3, "second of three"), (None, near)], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, sf, name):
     duck = duckdb.connect()
