@@ -14,15 +14,13 @@ from reelframe.llm import language_id, length_buckets, near_dups, soft_mixing, t
 from reelframe.llm.common import Scratch, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language has less than this is none of the languages known.
-LEAST_SCORE = 0.35
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or in no language that the network knows, go."""
+    """Texts without letters go; a low score is no reason, as clean texts in several languages have one."""
     model = language_id.train(read(spark, sf_dir, "documents"))
     found = language_id.identify(docs, model, keep=COLUMNS)
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language_id.UND).select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def test_stages_on_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_languages_keep_clean_texts_in_several_languages(spark, sf):
+    rows = read(spark, sf, "documents").where("length(text) >= 200").orderBy("doc_id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r["text"][:200])
+    mixed = [(i, "\n".join(parts), "en", "s", 1) for i, parts in enumerate(zip(*by.values(), strict=False))][:30]
+    assert len(by) >= 4 and len(mixed) >= 10
+    docs = spark.createDataFrame([*mixed, (100, "12345 -- !!", "en", "s", 1), (101, None, "en", "s", 1)], read(spark, sf, "documents").schema)
+    assert {r["doc_id"] for r in corpus_pipeline.languages(spark, docs, sf).collect()} == {m[0] for m in mixed}
+
+
 def test_near_duplicates_keep_one_of_each_group(spark, sf):
     rows = [(i, "one two three four five six seven " + ("x" if i < 4 else str(i) * 3), "en", "s", 1) for i in range(8)] + [(2, "one two three four five six seven x", "en", "s", 1)]
     rows += [(None, "no id", "en", "s", 1), (None, "nor this", "en", "s", 1), (None, "no id", "en", "s", 1)]
