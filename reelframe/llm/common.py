@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +75,56 @@ class Scratch:
         except Exception:
             if names:
                 raise  # at the end of the driver the session may be gone already
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, Python workers get so many rows at a time: rows here may be long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` longs that a hash partitioning into ``n`` deals to a partition each."""
+    at = spark.range(64 + 24 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows
+    found = sorted(r["id"] for r in at)
+    return found if len(found) == n else list(range(n))
+
+
+def against(rows: DataFrame, key: str, work: Callable[[pa.Table], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, parts: int | None = None, most: int = 256) -> DataFrame:
+    """In each value of ``key`` (a long), the rows that are asked meet those that are held.
+
+    rows: has a boolean column ``asked``.  The held rows of a key come first and are
+    kept; ``work`` makes of them the function that answers the asked rows, which
+    stream by, ``most`` at a time.  Only the held rows of one key need fit in memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, answer = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, asked = b.column(key).to_numpy(zero_copy_only=False), b.column("asked").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if keys[lo] != now:
+                    now, held, answer = keys[lo], [], None
+                part = b.slice(lo, hi - lo)
+                if not asked[lo]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if answer is None:
+                    answer = work(pa.Table.from_batches(held))
+                    held = [True]
+                for at in range(0, part.num_rows, most):
+                    yield from answer(part.slice(at, most))
+
+    dealt = rows.repartition(parts, key) if parts else rows.repartition(key)
+    return dealt.sortWithinPartitions(key, "asked").mapInArrow(run, schema)

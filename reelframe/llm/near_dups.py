@@ -19,10 +19,10 @@ The work follows the number of different texts, not of pairs:
 * classes with a common hub are a group.  Only groups that still hold several
   components are looked at again.  In a small one (``SMALL`` classes at most) pairs of
   different components are candidates like those above.  A larger one is cut into
-  blocks of about ``BLOCK`` classes, those of a large component among themselves;
-  blocks are compared with each other as matrices unless both hold one and the same
-  component, and a comparison returns no more links than join its components.  No
-  pairs are formed there.
+  blocks of about ``BLOCK`` classes (fewer if they are long); the classes outside its
+  largest component are held against every block, first by their sketches.  Texts
+  follow only for those that may be linked with another component there, and a
+  block returns no more links than join components.  No pairs are formed there.
 
 Links inside a component change nothing, so no link between components is lost.
 
@@ -35,22 +35,25 @@ id and one text share the fate of their id); an empty table gives no rows; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import Scratch, read
+from reelframe.llm.common import Scratch, against, read, small_batches
 from reelframe.llm.components import components
 
 SHINGLE, PERCENT = 2, 80
 P, R, BAND = 8, 10, 6
-SMALL, BLOCK = 24, 256
+SMALL, BLOCK = 24, 512
+LONG = 1 << 20  # shingles that a block holds, about
+ROWS = 1000  # of a batch in Python
+BITS = 22  # of the map that keeps rows out of a shuffle
 SLACK = 4.5  # standard errors by which an estimate must miss the threshold to drop a pair
 
 
@@ -173,24 +176,47 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sketch").mapInArrow(run, "bucket long, rep long, n long")
 
 
+@functools.cache
+def _collisions(a: int, b: int) -> float:
+    """Registers that agree by chance in sketches of sets of 2 ** (a / 4) and 2 ** (b / 4) elements."""
+    zeros, mantissa = np.arange(1, 64 - P)[:, None], np.arange(1 << R)[None, :]
+    low, high = (((1 << R) + mantissa + more) / 2.0 ** (P + R + zeros) for more in (0, 1))
+    at = [np.exp(n * np.log1p(-low)) - np.exp(n * np.log1p(-high)) for n in (2 ** (a / 4), 2 ** (b / 4))]
+    return float((1 << P) * (at[0] * at[1]).sum())
+
+
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Expected matches by chance for sets of n and of m elements; sizes are rounded to quarters of a power of two."""
+    a, b = (np.rint(4 * np.log2(np.maximum(x, 1))).astype(np.int64) for x in (np.minimum(n, m), np.maximum(n, m)))
+    pairs, at = np.unique(a * 1024 + b, return_inverse=True)
+    return np.array([_collisions(int(p) // 1024, int(p) % 1024) for p in pairs])[at]
+
+
+def may_link(x: np.ndarray, y: np.ndarray, by_chance: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches (rows) of two sides may be of linked sets."""
+    t = percent / 100
+    used = ((x > 0) | (y > 0)).sum(axis=1)
+    same = ((x == y) & (x > 0)).sum(axis=1) - by_chance
+    return same >= used * t - SLACK * np.sqrt(used * t * (1 - t)) - 1
+
+
+def registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose estimated similarity may reach the threshold."""
-    chance = 0.169919487159739 * 2.0 ** (P - R)  # expected matches by chance (HyperMinHash paper, sets of like size)
-    t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-            used = ((x > 0) | (y > 0)).sum(axis=1)
-            same = ((x == y) & (x > 0)).sum(axis=1) - chance
-            ok = same >= used * t - SLACK * np.sqrt(used * t * (1 - t)) - 1
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            if b.num_rows:
+                n = [b.column(c).to_numpy() for c in ("na", "nb")]
+                ok = may_link(registers(b.column("sa")), registers(b.column("sb")), chance(*n), percent)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    s = classes.select("rep", "sketch")
-    joined = pairs.join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    sides = [classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,102 +237,129 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def joining(left: list[tuple], right: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
-    """Links (id, id) that join the components of two blocks of (id, component, text)."""
-    vocab: dict[bytes, int] = {}
-    sides = []
-    for rows in (left, right):
-        at, col, n = [], [], []
-        for i, (_, _, text) in enumerate(rows):
-            own = word_shingles(text, k)
-            n.append(len(own))
-            at += [i] * len(own)
-            col += [vocab.setdefault(x, len(vocab)) for x in own]
-        sides.append((np.array(at), np.array(col), np.array(n)))
-    # only what both sides have counts for the common part
-    there = [np.bincount(col, minlength=len(vocab)) > 0 for _, col, _ in sides]
-    common = there[0] & there[1]
-    new = np.cumsum(common) - 1
-    both = np.zeros((len(left), len(right)), np.float32)
-    mats = [(at[common[col]], new[col[common[col]]]) for at, col, _ in sides]
-    for lo in range(0, int(common.sum()), 4096):
-        m = []
-        for (at, col), rows in zip(mats, (left, right), strict=True):
-            own = (col >= lo) & (col < lo + 4096)
-            x = np.zeros((len(rows), min(4096, int(common.sum()) - lo)), np.float32)
-            x[at[own], col[own] - lo] = 1
-            m.append(x)
-        both += m[0] @ m[1].T
-    both = both.astype(np.int64)
-    ok = 100 * both >= percent * (sides[0][2][:, None] + sides[1][2][None, :] - both)
+def outlook(held: pa.Table, percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Answers asked classes (block, rep, c, n, sketch) with those, and the held ones, that may be linked."""
+    c, n, reps = (held.column(x).to_numpy() for x in ("c", "n", "rep"))
+    regs = registers(held.column("sketch"))
+    told = np.zeros(len(c), bool)
+
+    def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked, mine, new = registers(b.column("sketch")), np.zeros(b.num_rows, bool), [np.empty(0, np.int64)]
+        for i, (own, size) in enumerate(zip(b.column("c").to_numpy(), b.column("n").to_numpy(), strict=True)):
+            at = np.flatnonzero((c != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+            if len(at):
+                ok = at[may_link(regs[at], asked[i], chance(n[at], np.full(len(at), size)), percent)]
+                mine[i] = len(ok) > 0
+                new.append(ok[~told[ok]])
+                told[ok] = True
+        found, other = np.flatnonzero(mine), np.concatenate(new)
+        block, sides = b.column("block")[0].as_py(), [True] * len(found) + [False] * len(other)
+        both = [np.concatenate([b.column(x).to_numpy()[found], y[other]]) for x, y in (("rep", reps), ("c", c))]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(sides), pa.int64()), pa.array(sides, pa.bool_()), *map(pa.array, both)], names=["block", "asked", "rep", "c"])
+
+    return answer
+
+
+def joining(held: pa.Table, k: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Answers asked classes (rep, c, text) with the links (a, b) that join components, no more than needed."""
+    reps, c, texts = held.column("rep").to_pylist(), held.column("c").to_pylist(), held.column("text")
+    own = [shingle_hashes(t.as_py(), k) for t in texts]
+    n = np.array([len(x) for x in own])
+    vocab, at = np.unique(np.concatenate(own), return_inverse=True)
+    holders = np.repeat(np.arange(len(own)), n)[np.argsort(at, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(vocab)))])
     root: dict[int, int] = {}
 
-    def find(c: int) -> int:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        x, y = find(left[i][1]), find(right[j][1])
-        if x != y:
-            root[x] = y
-            out.append((left[i][0], right[j][0]))
-    return out
-
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rep, comp, text in zip(b.column("rep").to_pylist(), b.column("c").to_pylist(), b.column("text").to_pylist(), strict=True):
+            h, words_ = shingle_hashes(text, k), None
+            i = np.searchsorted(vocab, h)
+            i = i[vocab[np.minimum(i, len(vocab) - 1)] == h]
+            if not len(i):
+                continue
+            many = start[i + 1] - start[i]
+            places = np.repeat(start[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(holders[places], minlength=len(n))
+            for j in np.flatnonzero(100 * both >= percent * (n + len(h) - both)):
+                x, y = find(comp), find(c[j])
+                if x != y:
+                    words_ = words_ or word_shingles(text, k)
+                    if linked(words_, word_shingles(texts[int(j)].as_py(), k), percent):
+                        root[max(x, y)] = min(x, y)
+                        out.append((rep, reps[j]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-BITS = 24
+    return answer
 
 
-def among(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """Of ``rows`` (rep, ...), those whose rep may be in ``needed`` (rep).
+def among(rows: DataFrame, needed: DataFrame, key: str = "rep") -> DataFrame:
+    """Of ``rows``, those whose ``key`` may be in ``needed``.
 
-    A bitmap of 2 ** BITS hashed ids, 2 ** (BITS - 6) words at most whatever the
+    A bitmap of 2 ** BITS hashed keys, 2 ** (BITS - 6) words at most whatever the
     input, is broadcast and keeps most other rows out of the shuffle of the join that
     follows; that join decides.
     """
-
-    def place(rep: str) -> F.Column:
-        return F.pmod(F.xxhash64(rep), F.lit(1 << BITS))
-
+    place = F.pmod(F.xxhash64(key), F.lit(1 << BITS))
     bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
-    words = needed.select(place("rep").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("mask"))
-    near = rows.withColumn("p", place("rep")).withColumn("word", F.floor(F.col("p") / 64)).join(F.broadcast(words), "word")
+    words = needed.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    near = rows.withColumn("p", place).withColumn("word", F.floor(F.col("p") / 64)).join(F.broadcast(words), "word")
     return near.where(F.col("mask").bitwiseAND(bit) != 0).drop("p", "word", "mask")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``documents``: id, n_shingles, component_id, kept."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "near-dups")
-    base = scratch.keep(sketches(documents, id_col, text_col, shingle), "base")
+    with small_batches(documents.sparkSession, ROWS):
+        base, classes, merged = linked_classes(documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")), shingle, percent)
+    of_class = classes.select("key", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
+    out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
+    whole = F.coalesce("root", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("id") == whole, F.lit(True)).alias("kept"))
+
+
+def linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (rep, text): rows with their class's key, the classes, and (node, root) of those with links."""
+    scratch = Scratch(texts.sparkSession, "near-dups")
+    base = scratch.keep(sketches(texts, "rep", "text", shingle), "base")
     able = base.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     # copies fold before the shuffle; the smallest id holds the class
     classes = scratch.keep(able.groupBy("key").agg(F.min(F.struct(F.col("id").alias("rep"), "n", "sketch")).alias("c")).select("key", "c.*"), "classes")
-
-    own = W.partitionBy("bucket")
-    shared = scratch.keep(bands(classes).withColumn("m", F.count("*").over(own)).where("m > 1"), "shared")
-    company = shared.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("company"))
-    hub = F.max(F.struct("company", (-F.col("rep")).alias("id"), "n")).over(own)
-    groups = scratch.keep(shared.join(company, "rep").select("rep", "n", hub.alias("h")).select((-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n"), "rep", "n").distinct(), "groups")
-    scratch.drop("shared")
+    repeated = not able.groupBy("id").count().where("count > 1").isEmpty()
+
+    # what is known of a bucket is aggregated, written and joined back, so that a hot one is split
+    buckets = scratch.keep(bands(classes).groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    shared = scratch.keep(among(bands(classes), buckets, "bucket").join(buckets, "bucket"), "shared")
+    company = scratch.keep(shared.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("company")), "company")
+    known = scratch.keep(shared.join(company, "rep").select("bucket", "rep", "n", "company"), "known")
+    best = F.max(F.struct("company", (-F.col("rep")).alias("id"), "n")).alias("h")
+    hubs = scratch.keep(known.groupBy("bucket").agg(best).select("bucket", (-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    groups = scratch.keep(known.join(hubs, "bucket").select("hub", "hub_n", "rep", "n").distinct(), "groups")
+    scratch.drop("shared", "buckets", "company", "known", "hubs")
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+    def texts_of(needed: DataFrame) -> DataFrame:
+        own = among(texts, needed)
+        return own.dropDuplicates(["rep", "text"]) if repeated else own
+
     def links(pairs: DataFrame, name: str) -> DataFrame:
         found = scratch.keep(likely(pairs, classes, percent), f"{name}-likely")
         needed = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
-        return scratch.keep(confirmed(found, among(texts, needed), shingle, percent), name)
+        return scratch.keep(confirmed(found, texts_of(needed), shingle, percent), name)
 
     stars = groups.where((F.col("hub") != F.col("rep")) & fits(F.col("hub_n"), F.col("n"))).select(*pair("hub", "rep")).distinct()
     first = links(stars, "first")
     roots = scratch.keep(components(first, scratch, "one"), "roots")
 
-    # groups that still hold several components, their classes ordered by component
+    # groups that still hold several components
     placed = groups.select("hub", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", F.coalesce("root", "rep").alias("c"))
-    of_group = placed.groupBy("hub").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and size > 2").select("hub", "size")
+    of_group = placed.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and size > 2").select("hub", "size", "shingles")
     # written first: a join of two plain exchanges, so that a large group is split
     mixed = scratch.keep(placed.join(scratch.keep(of_group, "mixed-groups"), "hub"), "mixed")
     few, many = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
@@ -315,35 +368,20 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     cross = x.join(y, "hub").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("hub") != F.col("x")) & (F.col("hub") != F.col("y")) & fits(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     second = links(cross, "second")
 
-    # a large component of a group is dealt into blocks by a hash, small ones share blocks
+    # a large group in blocks; what is outside its largest component is held against each of them
     parts = scratch.keep(many.groupBy("hub", "c").agg(F.count("*").alias("m")), "parts")
-    rest = scratch.keep(parts.where(F.col("m") < BLOCK).groupBy("hub").agg(F.sum("m").alias("rest")), "rest")
-    alone = F.xxhash64("c", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
-    together = F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.coalesce("rest", F.lit(1)) / BLOCK))))
-    block = F.when(F.col("m") >= BLOCK, alone).otherwise(together)
-    blocked = scratch.keep(many.join(parts, ["hub", "c"]).join(rest, "hub", "left").withColumn("block", block).select("hub", "block", "rep", "n", "c"), "blocked")
-    blocks = blocked.groupBy("hub", "block").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    i, j = (blocks.select("hub", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns[1:])) for s in "ij")
-    one = (F.col("c0_i") == F.col("c1_i")) & (F.col("c0_j") == F.col("c1_j")) & (F.col("c0_i") == F.col("c0_j"))
-    apart = (F.col("n1_i") * 100 < F.col("n0_j") * percent) | (F.col("n1_j") * 100 < F.col("n0_i") * percent)
-    meet = i.join(j, "hub").where((F.col("block_i") <= F.col("block_j")) & ~one & ~apart).select("hub", "block_i", "block_j")
-    sides = [meet.join(blocked.withColumnRenamed("block", f"block_{s}"), ["hub", f"block_{s}"]).select("hub", "block_i", "block_j", F.lit(s).alias("side"), "rep", "c") for s in "ij"]
-    needed = scratch.keep(sides[0].unionByName(sides[1]), "meetings")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = [[], []]
-        for side, rep, c, text in zip(*(table.column(n).to_pylist() for n in ("side", "rep", "c", "text")), strict=True):
-            rows[side == "j"].append((rep, c, text))
-        found = joining(rows[0], rows[1], shingle, percent)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    third = scratch.keep(needed.join(among(texts, needed.select("rep")), "rep").groupBy("hub", "block_i", "block_j").applyInArrow(compare, "a long, b long"), "third")
+    largest = scratch.keep(parts.groupBy("hub").agg(F.max(F.struct("m", "c")).alias("x")).select("hub", F.col("x.c").alias("most")), "largest")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / LONG))
+    cut = scratch.keep(many.join(largest, "hub").withColumn("blocks", blocks).join(classes.select("rep", "sketch"), "rep"), "cut")
+    rows = ["rep", "c", "n", "sketch"]
+    held = cut.select(F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"), F.lit(False).alias("asked"), *rows)
+    asked = cut.where("c <> most").select("hub", *rows, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("nth"))
+    asked = asked.select(F.xxhash64("hub", "nth").alias("block"), F.lit(True).alias("asked"), *rows)
+    met = scratch.keep(against(held.unionByName(asked), "block", lambda t: outlook(t, percent), "block long, asked boolean, rep long, c long"), "met")
+    whole = met.join(texts_of(met), "rep").select("block", "asked", "rep", "c", "text")
+    third = scratch.keep(against(whole, "block", lambda t: joining(t, shingle, percent), "a long, b long"), "third")
     merged = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(third), scratch, "two")
-
-    of_class = classes.select("key", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
-    out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
-    whole = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("id") == whole, F.lit(True)).alias("kept"))
+    return base, classes, scratch.keep(merged, "merged")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

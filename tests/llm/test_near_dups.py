@@ -55,7 +55,7 @@ def test_against_all_pairs(spark):
 
 def test_large_groups_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "SMALL", 4)
-    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
     rows = corpus(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs).collect()} == brute(rows)
