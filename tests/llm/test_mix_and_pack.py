@@ -22,7 +22,7 @@ def test_boundaries_are_optimal():
         cells = sorted(set(lengths))
         count = np.array([lengths.count(c) for c in cells])
         for buckets in (1, 2, 3, 5):
-            ends = length_buckets.boundaries(count, count * np.array(cells), np.array(cells), buckets)
+            ends = length_buckets.boundaries(np.array(cells), count, buckets)
             best = min(padding(lengths, [*c, cells[-1]]) for c in itertools.combinations(cells[:-1], min(buckets, len(cells)) - 1))
             assert padding(lengths, ends) == best and len(ends) == min(buckets, len(cells)) and ends == sorted(ends)
 
@@ -44,12 +44,30 @@ def test_batches_hold_their_budget(spark):
         assert len(set(sizes[:-1])) <= 1 and sizes[-1] <= sizes[0]
 
 
-def test_cells_are_bounded(spark):
-    n = [0, 1, 511, 512, 513, 1023, 1024, 1027, 10**6, 2**40 + 5, 2**62 + 12345]
-    rows = spark.createDataFrame([(v,) for v in n], "n_tokens long")
-    got = [r[0] for r in rows.select(length_buckets.cell(F.col("n_tokens"))).collect()]
-    keep = lambda v: v if v < 512 else v >> (v.bit_length() - 9) << (v.bit_length() - 9)
-    assert got == [keep(v) for v in n]
+def test_boundaries_are_optimal_for_long_texts():
+    """Clustered lengths far beyond 511 tokens, against the plain recurrence over all cuts."""
+    rng = random.Random(3)
+    lengths = sorted(rng.choice([600, 1500, 1515, 7000, 7040, 20_000]) + rng.randint(0, 40) for _ in range(400))
+    cells = sorted(set(lengths))
+    best = {0: 0}
+    for buckets in range(1, 7):
+        best = {j: min(best[i] + sum(cells[j - 1] - n for n in lengths if (i == 0 or n > cells[i - 1]) and n <= cells[j - 1]) for i in best if i < j) for j in range(buckets, len(cells) + 1)}
+        ends = length_buckets.boundaries(np.array(cells), np.array([lengths.count(c) for c in cells]), buckets)
+        assert padding(lengths, ends) == best[len(cells)]
+
+
+def test_equal_rows_are_counted_and_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(length_buckets, "RUN", 7)
+    docs = spark.createDataFrame([(None, "a b")] * 50 + [(None, "c")] * 20 + [(4, "d e")] * 30 + [(i, "x y z") for i in range(10)], "doc_id long, text string")
+    got = length_buckets.pack(docs, buckets=2, tokens=8).collect()
+    assert len(got) == 110 and sum(r["doc_id"] is None for r in got) == 70
+    held = {}
+    for r in got:
+        held.setdefault((r["bucket"], r["batch"]), []).append(r["bucket_len"])
+    for bucket in (0, 1):
+        own = sorted(b for k, b in held if k == bucket)
+        assert own == list(range(len(own)))
+    assert all(sum(b) <= 8 for b in held.values())
 
 
 def test_pack_odd_rows(spark):
