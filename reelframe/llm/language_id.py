@@ -8,14 +8,16 @@ after, so the work for a text grows with its length alone, a very long text need
 more memory than a short one, and each byte is labelled exactly once.
 
 The network is written and trained (backpropagation through time, Adam) in numpy on
-the driver.  It learns from a bounded sample: at most ``TRAIN_DOCS`` documents of each
-language, those with the smallest hash of their id, and one window of each at a place
-fixed by that hash; the split by crc32 is kept out.  ``TRAIN_DOCS`` bounds what comes
-to the driver.  The trained weights, a few thousand numbers, go to the executors
-inside the function.
-
-Nulls and odd input: a null text and a text without any letter get ``und`` and score
-1.0, an empty one too; repeated rows are predicted one by one alike; a null id is
+the driver.  It learns from a bounded sample of labelled rows: of each language those
+with the smallest hash of id and text, ``TRAIN_DOCS`` rows at most, as long as the rows
+before have less than ``TRAIN_CHARS`` characters together (a text longer than that by
+itself is not drawn); the split by crc32 is kept out.  These two bound what comes to
+the driver.  A drawn row is learned whole: every window of ``TRAIN_BYTES`` bytes of its
+text is seen once, in an order shuffled over all.  The trained weights, a few thousand
+numbers, go to the executors inside the function.
+
+Nulls and odd input: a null text and a text without any letter (a character of one of the
+categories L) get ``und`` and score 1.0, an empty one too; repeated rows are predicted one by one alike; a null id is
 predicted but never learned from, a null language is never learned from; an empty table gives no rows; if nothing can be learned from (no
 labelled row), every text gets ``und`` with score 0.0; other columns are not read.
 """
@@ -35,11 +37,16 @@ from reelframe.llm.common import crc_mod, read
 
 WINDOW, CONTEXT = 224, 16
 HIDDEN = 8
-TRAIN_DOCS = 1500
+TRAIN_DOCS, TRAIN_CHARS = 2000, 1_000_000
 TRAIN_BYTES = 64
-STEPS, BATCH = 500, 64
+BATCH = 128
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; signs like a raised 2 count as words for the pattern, but are none."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text or ""))
 
 
 class BiGRU:
@@ -130,8 +137,9 @@ class BiGRU:
             g |= {f"E{d}": gE, f"U{d}": gU, f"V{d}": gV}
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> float:
-        """Adam over ``steps`` batches of the columns of x, shuffled anew when used up; the last tenth's mean loss."""
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int | None = None, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> float:
+        """Adam over ``steps`` batches of the columns of x (all columns once, and 300 at least, if not given), shuffled anew when used up; the last tenth's mean loss."""
+        steps = steps or max(300, -(-len(y) // batch))
         rng, losses, order = np.random.default_rng(seed), [], np.empty(0, int)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -186,7 +194,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UND] * len(texts), [1.0 if self.net else 0.0] * len(texts)
-        own = [i for i, t in enumerate(texts) if self.net and t and LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if self.net and has_letter(t)]
         at = 0
         while at < len(own):  # parts of bounded size
             to, size = at, 0
@@ -201,9 +209,21 @@ class Model:
         return lang, score
 
 
-def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out: int = 5, docs: int = TRAIN_DOCS) -> Model:
+def windows(raw: list[bytes], lang: list[int], size: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of all byte strings: bytes (size, windows), language and weight (0 for padding)."""
+    many = np.array([-(-len(b) // size) for b in raw])
+    x, w = np.zeros((int(many.sum()), size), np.uint8), np.zeros((int(many.sum()), size), np.float32)
+    at = 0
+    for b, n in zip(raw, many, strict=True):
+        x[at : at + n].reshape(-1)[: len(b)] = np.frombuffer(b, np.uint8)
+        w[at : at + n].reshape(-1)[: len(b)] = 1
+        at += n
+    return np.ascontiguousarray(x.T), np.repeat(np.array(lang), many), np.ascontiguousarray(w.T)
+
+
+def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out: int = 5, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
     """Learn from rows with a language whose crc32(id) mod ``hold_out`` is not 0."""
-    at = F.xxhash64(id_col)
+    at = F.xxhash64(id_col, text_col)
     able = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, hold_out) != 0)
     # counts by language say which hashes are small enough to look at, so no language goes to one task whole
     many = {r[0]: r[1] for r in documents.where(able).groupBy(lang_col).count().collect()}
@@ -212,23 +232,17 @@ def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     cut = F.create_map(*(F.lit(v) for lang, n in many.items() for v in (lang, 4.0 * docs / n)))
     rows = (
         documents.where(able)
-        .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.length(text_col).alias("n"), F.col(text_col).alias("t"))
-        .where((F.col("at") / F.lit(2.0**64) + 0.5 < F.element_at(cut, F.col("lang"))) & (F.col("n") > 0))
-        .select("id", "lang", "at", F.expr(f"substring(t, cast(1 + pmod(at, greatest(1, n - {TRAIN_BYTES} + 1)) as int), {TRAIN_BYTES})").alias("part"))
+        .select(F.col(lang_col).alias("lang"), at.alias("at"), F.length(text_col).alias("n"), F.col(text_col).alias("t"))
+        .where((F.col("at") / F.lit(2.0**64) + 0.5 < F.element_at(cut, F.col("lang"))) & F.col("n").between(1, chars))
+        .dropDuplicates(["lang", "at"])  # repeated rows fold before they meet
     )
-    top = W.partitionBy("lang").orderBy("at", "id", "part")
-    rows = rows.withColumn("k", F.row_number().over(top)).where(F.col("k") <= docs).select("lang", "at", "part").collect()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["part"]))
+    top = W.partitionBy("lang").orderBy("at")
+    rows = rows.withColumns({"k": F.row_number().over(top), "sum": F.sum("n").over(top) - F.col("n")}).where((F.col("k") <= docs) & (F.col("sum") < chars)).select("lang", "at", "t").collect()
+    rows.sort(key=lambda r: (r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], None)
-    raw = [r["part"].encode("utf-8", "surrogatepass")[:TRAIN_BYTES] for r in rows]
-    x = np.zeros((TRAIN_BYTES, len(raw)), np.uint8)
-    w = np.zeros((TRAIN_BYTES, len(raw)), np.float32)
-    for i, b in enumerate(raw):
-        x[: len(b), i] = np.frombuffer(b, np.uint8)
-        w[: len(b), i] = 1
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    x, y, w = windows([r["t"].encode("utf-8", "surrogatepass") for r in rows], [langs.index(r["lang"]) for r in rows])
     net = BiGRU(len(langs))
     net.train(x, y, w)
     return Model(langs, net)

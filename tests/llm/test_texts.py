@@ -39,6 +39,56 @@ def test_language_accuracy_on_held_out(spark):
     assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
+def test_language_learns_from_whole_texts():
+    raw = [bytes(range(1, 131)), b"ab", b"x" * 64]
+    x, y, w = language_id.windows(raw, [1, 0, 2])
+    assert x.shape == w.shape == (64, 5) and y.tolist() == [1, 1, 1, 0, 2]
+    back = [bytes(x[:, i][w[:, i] > 0]) for i in range(5)]
+    assert b"".join(back[:3]) == raw[0] and back[3:] == raw[1:]
+
+
+def test_language_sample_is_bounded_by_rows_and_characters(spark):
+    rows = [(i, "abc " * 25, "en") for i in range(1, 60)] + [(i, "xyz " * 25, "de") for i in range(100, 160)] + [(3, "abc " * 25, "en")] * 300 + [(99, "q" * 5000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+
+    def train(self, x, y, w):
+        seen.append(w.sum())
+
+    before, language_id.BiGRU.train = language_id.BiGRU.train, train
+    try:
+        language_id.train(docs, chars=1000)
+        language_id.train(docs, docs=3)
+    finally:
+        language_id.BiGRU.train = before
+    assert seen[0] == 2 * 1000 and seen[1] in (2 * 300, 5 * 100 + 5000)
+
+
+def test_language_network_against_a_loop():
+    """Position by position, plain numbers: the same states and probabilities."""
+    net, rng = language_id.BiGRU(3, hidden=4, seed=1), np.random.default_rng(2)
+    x = rng.integers(0, 256, 9).astype(np.uint8)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(order, d):
+        h, out = np.zeros(4), {}
+        for t in order:
+            e = net.p[f"E{d}"][x[t]].astype(float)
+            z, r = sig(e[:4] + h @ net.p[f"U{d}"][:, :4]), sig(e[4:8] + h @ net.p[f"U{d}"][:, 4:])
+            h = (1 - z) * h + z * np.tanh(e[8:] + (r * h) @ net.p[f"V{d}"])
+            out[t] = h
+        return out
+
+    ahead, back = states(range(9), "f"), states(range(8, -1, -1), "b")
+    want = np.array([np.concatenate([ahead[t], back[t]]) @ net.p["O"] + net.p["c"] for t in range(9)])
+    assert np.allclose(net.logits(x[:, None])[:, 0], want, atol=1e-4)
+
+
+def test_signs_are_no_letters():
+    assert not any(map(language_id.has_letter, ["²", "½", "①", "12 ³", "", None, "_-!"]))
+    assert all(map(language_id.has_letter, ["² a", "é", "字", "ʰ"]))
+
+
 def test_language_windows_do_not_depend_on_the_batch():
     model = language_id.Model(["a", "b"], language_id.BiGRU(2))
     texts = ["short", "longer text " * 200, "x"]
@@ -90,6 +140,40 @@ def test_ftrl_learns_and_is_sparse():
     assert np.mean(right) > 0.98
 
 
+def test_ftrl_against_a_plain_loop():
+    """The published per-coordinate update, one coordinate at a time, in a dictionary."""
+    rng, model = np.random.default_rng(4), toxicity.FTRL(bits=6)
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == 64 else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 64, 8)).astype(np.int32)
+        y = int(3 in x or 7 in x)
+        at = [*x.tolist(), 64]
+        p = 1 / (1 + np.exp(-sum(map(weight, at))))
+        assert abs(model.learn(x, y) - p) < 1e-9
+        for i in at:
+            w, g = weight(i), p - y
+            s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+            z[i], n[i] = z.get(i, 0.0) + g - s * w, n.get(i, 0.0) + g * g
+    scorer = model.sparse()
+    assert {int(i): round(float(w), 5) for i, w in zip(scorer.at, scorer.w, strict=True)} == {i: round(float(np.float32(weight(i))), 5) for i in range(64) if weight(i)}
+
+
+def test_toxicity_folds_repeated_ids(spark, monkeypatch):
+    rows = [(1, "some text")] * 500 + [(1, "other words")] * 3 + [(i, f"word{i}") for i in range(2, 6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.FTRL, "learn", lambda self, x, y: seen.append(y))
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, hold_out=(1, 5))
+    assert len(seen) == 5 * toxicity.EPOCHS
+
+
 def test_features_of_ngrams_and_skipgrams():
     h = toxicity.Hasher()
     assert len(h.features("a b c")) == 3 + 2 + 1 and len(h.features(None)) == 0 and len(h.features("!!")) == 0
