@@ -14,7 +14,7 @@ Labels, language, source and id are never inputs of a score.
 Nulls and odd input: a null or empty text, or one without words, has no features and
 the score of the bias alone; repeated rows score alike; a row with a null id is scored
 but never learned from; rows of labels with null id or label are left out, repeated
-ones count once (label 1 if any says so); with no label to learn from, all scores are
+ones count once (label 1 if any says so); of several texts under one labelled id one is learned from (the least by its features); with no label to learn from, all scores are
 0.0; empty tables give no rows; other columns are not read.
 """
 
@@ -122,7 +122,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         .orderBy(F.xxhash64("id"), "id")
         .limit(docs)
     )
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")  # docs rows at most
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")  # own: docs rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -130,7 +130,8 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
             x = [hasher.features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(x, pa.binary())], names=["id", "label", "x"])
 
-    rows = texts.select("id", "label", "text").mapInArrow(run, texts.select("id", "label", F.lit(b"").alias("x")).schema).collect()
+    held = texts.select("id", "label", "text").mapInArrow(run, texts.select("id", "label", F.lit(b"").alias("x")).schema)
+    rows = held.groupBy("id", "label").agg(F.min("x").alias("x")).collect()  # ``docs`` rows at most, however often an id is repeated
     if not rows:
         return None
     rows.sort(key=lambda r: (crc32(str(r["id"]).encode()), r["id"], bytes(r["x"])))
