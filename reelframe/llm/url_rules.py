@@ -7,12 +7,12 @@ Urls and rules are merged into one order and swept once.  The sweep keeps a stac
 with one slot for each depth (number of labels): the last rule host passed at that
 depth.  A slot is active while its key is a prefix of the row's key; a later rule
 host at the same depth replaces it.  Of the active rules whose path starts the
-url's path, the longest wins: the longest host, then the longest path, then block
-before allow.
+url's path, the longest wins: the longest rule string (host and path together), then
+the longest host, then block before allow.
 
 Only DataFrame functions are used.  The sweep is a running window, so a task holds
-one row and the stack.  Rows are dealt to sweeps by a hash of the url and its id, so
-a host with a third of all rows is spread evenly; each sweep passes all rule hosts,
+one row and the stack.  Rows are dealt to sweeps by their place in the input, so a
+host, or one url repeated, with a third of all rows is spread evenly; each sweep passes all rule hosts,
 which are few next to the pages (``sweeps`` copies of them are made).
 
 Nulls and odd input: a null url, or one without ``://``, has empty host and path and
@@ -66,7 +66,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     hosts = (
         rules.where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
         .select(F.translate("host", UPPER, UPPER.lower()).alias("h"), F.coalesce("path", F.lit("/")).alias("p"), F.col("verdict").alias("v"))
-        .select(host_key(F.col("h")).alias("key"), F.struct(F.length("p").alias("n"), (F.col("v") == "block").alias("blocks"), "p", F.concat("h", "p").alias("rule"), F.col("v").alias("verdict")).alias("r"))
+        .select(host_key(F.col("h")).alias("key"), F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("host"), (F.col("v") == "block").alias("blocks"), "p", F.concat("h", "p").alias("rule"), F.col("v").alias("verdict")).alias("r"))
         .groupBy("key")
         .agg(F.sort_array(F.collect_set("r"), asc=False).alias("rs"))
         .withColumn("depth", F.size(F.split("key", r"\.")))
@@ -74,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     depths = [r[0] for r in hosts.select("depth").distinct().orderBy("depth").collect()]  # as many as the longest rule host has labels
 
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"), F.pmod(F.xxhash64(id_col, url_col), F.lit(n)).alias("sweep")).withColumn("key", host_key(F.col("host")))
+    rows = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"), F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("sweep")).withColumn("key", host_key(F.col("host")))
     if not depths:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     spread = hosts.select("key", "rs", "depth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sweep"))
@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     return (
         merged.withColumns(slots)
         .where("is_url")
-        .withColumn("won", F.coalesce(*(best(d) for d in reversed(depths))))
+        .withColumn("won", F.greatest(*(best(d) for d in depths)) if len(depths) > 1 else best(depths[0]))
         .select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
     )
 
@@ -109,7 +109,7 @@ WITH u AS (
 r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (
   SELECT u.page_id, u.host, u.path, r.h || r.p AS rule, r.verdict,
-         row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.h || r.p) DESC) AS n
+         row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.h || r.p) DESC, length(r.h) DESC, r.verdict = 'block' DESC) AS n
   FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM u LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON u.page_id = m.page_id AND u.host = m.host AND u.path = m.path

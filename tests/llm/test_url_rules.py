@@ -7,7 +7,7 @@ FIELDS = "page_id long, url string, host string, rule string, key string"
 
 
 def brute(host, path, rules, default="allow"):
-    fits = [(len(h), len(p), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (max(fits)[3], max(fits)[4]) if fits else (None, default)
 
 
@@ -49,6 +49,20 @@ def test_against_brute_force(spark):
         assert got[i] == (h, p, *brute(h, p, rules)), u
 
 
+def test_longest_is_the_longest_rule_string(spark):
+    rules = [("net", "/en/docs/long/", "block"), ("example.net", "/", "allow")]
+    got = judge(spark, ["http://example.net/en/docs/long/x", "http://example.net/en"], rules)
+    assert [got[i][2:] for i in (0, 1)] == [("net/en/docs/long/", "block"), ("example.net/", "allow")]
+
+
+def test_repeated_urls_are_spread(spark):
+    pages = spark.range(0, 300, 1, 4).selectExpr("CAST(NULL AS long) AS page_id", "CAST(NULL AS string) AS url", "'' AS host", "'' AS rule", "'' AS key")
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    assert url_rules.judge_urls(pages, rules, sweeps=4).count() == 300
+    plan = url_rules.judge_urls(pages, rules, sweeps=4)._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" in plan
+
+
 def test_empty_tables_and_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", "", "", ""), (None, None, None, None, None), (1, "http://a.net/", "", "", "")], FIELDS)
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
