@@ -11,13 +11,21 @@ first headings, select the region: the article or main elements around them, or,
 none, the lowest element that holds them all.  All text of the region is returned,
 short lines included, except what those boilerplate elements hold.
 
+Inside an article or main element a name is weaker evidence: of headings, paragraphs of
+prose, tables, figures and sections it decides nothing by a single word of it.  There an
+element is boilerplate only by its element name or role, or if a class (for a plain box
+an id, too; for a section one about comments) consists of nothing but words for boilerplate and for boxes: ``ad``,
+``comment-list`` and ``related-posts`` are, ``related-work``, ``menu-prices`` and
+``recommended-dose`` are not.
+
 Character references are decoded, white space inside a block becomes one blank, a
 block is trimmed, blocks are joined by a newline in page order.
 
 Nulls and odd input: a null or empty page, or one without text, gives an empty text
 with 0 characters; unclosed elements end with their parent or the page; a page
 without markup is one block; repeated rows and null ids or urls are passed on; a page
-is parsed whole whatever its length; an empty table gives no rows; other columns are
+is parsed whole whatever its length, in time that grows with it (a tag looks up the
+open elements only if there is one that it can close); an empty table gives no rows; other columns are
 not read.
 """
 
@@ -25,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,7 +47,7 @@ SIGMA = 1.0
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of a page.
-SILENT = set("head script style noscript template svg math object iframe canvas audio video map title textarea select button datalist".split())
+SILENT = set("head script style noscript template svg object iframe canvas audio video map title textarea select button datalist".split())
 #: Elements and roles that never hold the article.
 APART = set("nav aside footer form menu dialog".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -56,16 +65,22 @@ AROUND = set("has with no without is layout page body wrap wrapper".split())
 OWN = set("article post entry content story".split())
 HEADS = set("header head banner masthead topbar".split())
 MAIN = set("article main".split())
+#: Words for boxes: beside a word for boilerplate they change nothing.
+BOX = set("list lists box boxes block blocks wrap wrapper container section area form item items bar bars link links post posts article articles content inner outer slot unit module panel group row col left right top bottom header title text body site page thread js".split())
+#: Inside an article, elements that a class can mark, and those that an id can mark.
+BY_CLASS = set("div section ul ol p span ins dl center".split())
+BY_ID = set("div ins center ul ol".split())
+READERS = set("comment comments commentlist respond replies disqus".split())
 WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("apart", "depth", "main", "parent", "silent", "tag")
+    __slots__ = ("apart", "main", "number", "parent", "silent", "tag", "titled")
 
-    def __init__(self, tag: str, parent: Element | None, apart: bool, silent: bool, main: Element | None):
-        self.tag, self.parent, self.apart, self.silent = tag, parent, apart, silent
+    def __init__(self, tag: str, parent: Element | None, apart: bool, silent: bool, main: Element | None, number: int):
+        self.tag, self.parent, self.apart, self.silent, self.number = tag, parent, apart, silent, number
         self.main = self if main is True else main
-        self.depth = parent.depth + 1 if parent else 0
+        self.titled = tag == "h1" or parent is not None and parent.titled  # under a first heading
 
 
 class Line:
@@ -80,7 +95,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.here = Element("", None, False, False, None)
+        self.root = self.here = Element("", None, False, False, None, 0)
+        self.elements = [self.root]  # parents come before what they hold
+        self.open: Counter[str] = Counter()
         self.out: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -98,6 +115,7 @@ class Lines(HTMLParser):
         if tag == "header" and not inside:
             return True
         words: set[str] = set()
+        marked = False
         for name, value in attrs:
             if name == "hidden":
                 return True
@@ -110,11 +128,15 @@ class Lines(HTMLParser):
                 for part in map(WORDS.findall, value.split()):
                     if part and part[0] not in AROUND:
                         words.update(part)
+                        by, kind = (BY_CLASS, MARKED) if name == "class" else (BY_ID, MARKED) if tag in BY_ID else (BY_CLASS, READERS)
+                        marked |= tag in by and not kind.isdisjoint(part) and (kind | BOX).issuperset(part)
         if tag in ("html", "body", "main"):
             return False
         if tag == "article":
             return bool(words & {"comment", "comments", "related", "promo", "sponsored", "ad", "advert"})
-        return bool(words & MARKED) or not inside and bool(words & HEADS) and not words & OWN and tag not in ("h1", "h2")
+        if inside:
+            return marked
+        return bool(words & MARKED) or bool(words & HEADS) and not words & OWN and tag not in ("h1", "h2")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS
@@ -128,7 +150,9 @@ class Lines(HTMLParser):
             return
         apart = self.here.apart or self.apart(tag, attrs)
         main = True if tag in MAIN and not apart else self.here.main
-        self.here = Element(tag, self.here, apart, self.here.silent or tag in SILENT, main)
+        self.here = Element(tag, self.here, apart, self.here.silent or tag in SILENT, main, len(self.elements))
+        self.elements.append(self.here)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,23 +162,31 @@ class Lines(HTMLParser):
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; an item ends the one before it; body ends head."""
         ends, walls = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "body": ({"head"}, set())}.get(tag, ({"p"}, BLOCKS - {"p"}))
+        if not any(self.open[t] for t in ends):
+            return
         e, last = self.here, None
         while e.parent and e.tag not in walls:
             if e.tag in ends:
                 last = e
             e = e.parent
         if last:
-            self.here = last.parent
+            self.leave(last)
+
+    def leave(self, e: Element) -> None:
+        """Closes an open element and what is open in it."""
+        while self.here is not e.parent:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
 
     def handle_endtag(self, tag: str) -> None:
-        e = self.here
+        e = self.here if self.open[tag] else self.root
         while e.parent and e.tag != tag:
             e = e.parent
         if tag in BLOCKS or (e.parent and self.apart_changes(e)):
             self.flush()
         self.tags += 1
         if e.parent:
-            self.here = e.parent
+            self.leave(e)
 
     def apart_changes(self, e: Element) -> bool:
         return self.here.apart != e.parent.apart
@@ -191,30 +223,23 @@ def threshold(values: list[float]) -> float:
     return (lo + hi) / 2
 
 
-def titled(e: Element) -> bool:
-    """Under a first heading; one of the page's own header is not there to be seen."""
-    while e.parent and e.tag != "h1":
-        e = e.parent
-    return e.tag == "h1"
-
-
-def region(lines: list[Line]) -> set[Element]:
+def region(lines: list[Line], elements: list[Element]) -> set[Element]:
     """The elements that hold the content."""
     ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
     cut = threshold(ratios)
     full = [(x, r) for x, r in zip(lines, ratios, strict=True) if x.text]
-    chosen = [x.at for x, r in full if r >= cut or titled(x.at)] or [x.at for x, _ in full]
+    # a first heading counts whatever its ratio; one of the page's own header has no text left
+    chosen = [x.at for x, r in full if r >= cut or x.at.titled] or [x.at for x, _ in full]
     mains = {e.main for e in chosen if e.main}
     if mains:
         return mains
-    top = chosen[0]
-    for e in chosen[1:]:
-        while top.depth > e.depth:
-            top = top.parent
-        while e.depth > top.depth:
-            e = e.parent
-        while e is not top:
-            e, top = e.parent, top.parent
+    held = [0] * len(elements)
+    for e in chosen:
+        held[e.number] += 1
+    for e in reversed(elements[1:]):
+        held[e.parent.number] += held[e.number]
+    # elements that hold all are a chain; the last to open is the lowest
+    top = elements[max(i for i, n in enumerate(held) if n == len(chosen))]
     if top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre") and top.parent:
         top = top.parent  # a single block: what stands beside it belongs to it
     return {top}
@@ -233,7 +258,7 @@ def main_text(html: str | None) -> str:
     parser.flush()
     if not any(x.text for x in parser.out):
         return ""
-    own = region(parser.out)
+    own = region(parser.out, parser.elements)
     inside: dict[Element, bool] = {}
 
     def holds(e: Element) -> bool:
