@@ -5,8 +5,8 @@ Root-to-leaf paths come from iterative self-joins: a table of jumps to the ances
 1, 2, 4, ... steps up is joined with itself until no jump is left, then every leaf
 takes the jumps from the longest to the shortest and so meets each ancestor once.
 The number of joins grows with the logarithm of the depth, the rows with the length of
-the paths.  Branches of a tree are ranked by the sum of their messages' scores and each
-chosen path is formatted as one conversation.
+the paths.  Branches of a tree are ranked by the sum of their messages' scores, by numbers
+alone; texts are joined to the chosen paths only, and each is formatted as one conversation.
 
 The template marks turns with control strings.  Where a text holds one, the string
 gets a backslash before it, and backslashes that stood there are doubled; nothing
@@ -16,8 +16,10 @@ formatted string (from, to), one for each assistant text.
 Nulls and odd input: a null text or role is the empty string; a null tree id is a tree
 of its own; a missing score counts 0; an answer to a message that is not there starts a
 path; ties in rank go to the longer path, then the smaller leaf; repeated rows of a
-flat table are turns of their own; two messages with one id in one tree, or a circle of
-answers, are an error; empty tables give no rows; other columns are not read.
+flat table are turns of their own; of several messages with one id in one tree the least
+stays (by parent, null first, then role, text and score), so repeated rows count once;
+in a circle of answers the message with the smallest id counts as one that answers
+nothing, and starts a path; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -96,17 +98,13 @@ def paths(messages: DataFrame) -> DataFrame:
     messages: tree, node, parent.
     """
     scratch = Scratch(messages.sparkSession, "reply-trees")
-    nodes = scratch.keep(messages.select(F.struct("tree", F.col("node").alias("n")).alias("v"), F.when(F.col("parent").isNotNull(), F.struct("tree", F.col("parent").alias("n"))).alias("up")), "nodes")
-    total, distinct = nodes.agg(F.count("*"), F.countDistinct("v")).first()
-    if total != distinct:
-        raise ValueError("two messages of one tree have one id")
-    there = nodes.select(F.col("v").alias("up"))
-    jumps = [scratch.keep(nodes.where("up is not null").join(there, "up").select("v", "up"), "jump-0")]
-    while jumps[-1].take(1):
-        if len(jumps) > total.bit_length() + 1:
-            raise ValueError("the answers form a circle")
-        last = jumps[-1]
-        jumps.append(scratch.keep(last.join(last.select(F.col("v").alias("up"), F.col("up").alias("then")), "up").select("v", F.col("then").alias("up")), f"jump-{len(jumps)}"))
+    up = F.when(F.col("parent").isNotNull(), F.struct("tree", F.col("parent").alias("n")))
+    nodes = scratch.keep(messages.select(F.struct("tree", F.col("node").alias("n")).alias("v"), up.alias("up")), "nodes")
+    jumps, circles = _jumps(nodes, scratch, "jump")
+    if circles is not None:
+        cut = circles.select("v", F.lit(True).alias("cut"))
+        nodes = scratch.keep(nodes.join(cut, "v", "left").select("v", F.when(F.col("cut").isNull(), F.col("up")).alias("up")), "cut-nodes")
+        jumps, _ = _jumps(nodes, scratch, "cut-jump")
     leaves = nodes.join(jumps[0].select(F.col("up").alias("v")), "v", "left_anti")
     out = leaves.select(F.col("v").alias("leaf"), F.lit(0).cast("long").alias("hop"), "v")
     for k in range(len(jumps) - 2, -1, -1):
@@ -114,19 +112,56 @@ def paths(messages: DataFrame) -> DataFrame:
     return out.select(F.col("leaf.tree").alias("tree"), F.col("leaf.n").alias("leaf"), "hop", F.col("v.n").alias("node"), "v")
 
 
+def _jumps(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables of jumps 1, 2, 4, ... steps up, the last one empty; or the smallest message of each circle.
+
+    Jumps longer than there are messages exist only along circles, and end on them.
+    """
+    total = nodes.count()
+    there = nodes.select(F.col("v").alias("up"))
+    jumps = [scratch.keep(nodes.where("up is not null").join(there, "up").select("v", "up"), f"{name}-0")]
+    while jumps[-1].take(1):
+        if 1 << (len(jumps) - 1) > total:
+            return jumps, _smallest(jumps, scratch, name)
+        last = jumps[-1]
+        jumps.append(scratch.keep(last.join(last.select(F.col("v").alias("up"), F.col("up").alias("then")), "up").select("v", F.col("then").alias("up")), f"{name}-{len(jumps)}"))
+    return jumps, None
+
+
+def _smallest(jumps: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
+    """(v) of the messages on a circle that are the smallest of their own circle."""
+    least = scratch.keep(jumps[-1].select(F.col("up").alias("v")).distinct().withColumn("m", F.col("v")), f"{name}-on")
+    for k, steps in enumerate(jumps):
+        # the smallest of 2 ** k messages from v on, then of twice as many
+        further = least.select(F.col("v").alias("up"), F.col("m").alias("then"))
+        least = scratch.keep(least.join(steps, "v").join(further, "up").select("v", F.least("m", "then").alias("m")), f"{name}-least-{k}")
+    return least.where(F.col("v") == F.col("m")).select("v")
+
+
 def format_trees(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     """One row per chosen branch: tree, leaf, rank, score, formatted, loss.
 
     messages: tree, node, parent, role, text, score.  best: so many branches of each
     tree; all if not given.  loss: spans of ``formatted`` under the loss mask.
     """
-    content = messages.select(F.struct("tree", F.col("node").alias("n")).alias("v"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
-    steps = paths(messages).join(content, "v")
-    branches = steps.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("hop")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))), asc=True).alias("turns"), F.sum("score").alias("score"), F.count("*").alias("n"))
+    scratch = Scratch(messages.sparkSession, "branches")
+    kinds = dict(messages.dtypes)
+    own = messages.select("tree", "node", "parent", "role", "text", "score")
+    if not own.groupBy("tree", "node").count().where("count > 1").isEmpty():
+        own = own.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
+    key = F.struct("tree", F.col("node").alias("n")).alias("v")
+    steps = scratch.keep(paths(own), "steps")
+    scores = own.select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    branches = steps.join(scores, "v").groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
     ranked = branches.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    kinds = dict(messages.dtypes)
+    leaf = F.struct("tree", "leaf").alias("branch")
+    chosen = scratch.keep(ranked.select(leaf, "rank", "score"), "chosen")
+    content = own.select(key, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct((-F.col("hop")).alias("at"), "role", "text")
+    whole = steps.select(leaf, "hop", "v").join(chosen.select("branch"), "branch", "left_semi").join(content, "v").groupBy("branch").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    told = whole.join(chosen, "branch").select("branch.tree", "branch.leaf", "rank", "score", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +169,7 @@ def format_trees(messages: DataFrame, *, best: int | None = None) -> DataFrame:
             spans = pa.array([[{"from": x, "to": y} for x, y in s] for _, s in done], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("tree", "leaf", "rank", "score")] + [pa.array([f for f, _ in done], pa.string()), spans], names=["tree", "leaf", "rank", "score", "formatted", "loss"])
 
-    return ranked.select("tree", "leaf", "rank", "score", "turns").mapInArrow(run, f"tree {kinds['tree']}, leaf {kinds['node']}, rank int, score double, formatted string, loss array<struct<from: bigint, to: bigint>>")
+    return told.mapInArrow(run, f"tree {kinds['tree']}, leaf {kinds['node']}, rank int, score double, formatted string, loss array<struct<from: bigint, to: bigint>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ import hashlib
 from zlib import crc32
 
 import numpy as np
-import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -210,6 +209,76 @@ def test_html_cases():
     assert html_text.main_text("<article><p>cut off in a tag <b") == "cut off in a tag"
 
 
+def test_html_names_decide_little_inside_an_article():
+    prose = "<p>" + "long text " * 20 + "</p>"
+    for inner in ('<div class="recommended-dose">Two a day</div>', '<p class="related-work">Others did too.</p>', '<section id="related-work"><p>Others.</p></section>', '<h2 id="navigation">Ships</h2>', '<section id="search"><p>We looked.</p></section>', '<div id="legal-status">Banned.</div>', "<p><math><mi>x</mi></math></p>"):
+        assert html_text.main_text(f"<body><article>{prose}{inner}{prose}</article></body>").count("\n") == 2, inner
+    table = '<table class="menu-prices"><tr><td>Tea</td><td>2</td></tr></table>'
+    assert "Tea" in html_text.main_text(f"<article>{prose}{table}</article>")
+    for inner in ('<div class="ad">Buy</div>', '<div id="ad">Buy</div>', '<div class="comment-list"><p>I say</p></div>', '<ul class="related-posts"><li>More</ul>', '<div class="cookie-notice">We use</div>', "<aside>Side</aside>", '<div class="share-links">Tell</div>', '<p class="advert">Buy</p>'):
+        assert html_text.main_text(f"<body><article>{prose}{inner}{prose}</article></body>").count("\n") == 1, inner
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<p>" + "<b>x</i>" * n, lambda n: "<div>x" * n, lambda n: "<div>" + "<b>" * n + "<p>x</p>" * n, lambda n: "</p>" * n + "<i>" * n + "</u>" * n):
+        assert seconds(make(20_000)) < 4 * 4 * max(0.1, seconds(make(5000)))
+
+
+def test_html_against_the_template(spark):
+    """An independent rule for the pages at hand: the blocks of the article element, by a tree built here."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.parts, self.skip, self.inside = [], [], 0, 0
+
+        def cut(self):
+            if t := " ".join("".join(self.parts).split()):
+                self.out.append(t)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.VOID:
+                return
+            own = dict(attrs)
+            if self.skip or tag in ("nav", "aside", "form", "footer", "script", "style") or "ad" in (own.get("class"), own.get("id")):
+                self.skip += 1
+            elif tag in ("article", "main"):
+                self.inside += 1
+            elif tag in html_text.BLOCKS:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag in html_text.VOID:
+                return
+            if self.skip:
+                self.skip -= 1
+            elif tag in html_text.BLOCKS:
+                self.cut()
+                self.inside -= tag in ("article", "main")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.parts.append(data)
+
+    sf, same = "/root/testdata/sf0.01", []
+    rows = html_text.query(spark, sf).join(read(spark, sf, "pages").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        tree = Tree()
+        tree.feed(r["html"] or "")
+        tree.cut()
+        same.append("\n".join(tree.out) == r["text"])
+    assert len(same) == 250 and np.mean(same) >= 0.99, [r["page_id"] for r, s in zip(rows, same, strict=True) if not s][:5]
+
+
 def test_html_parts():
     assert html_text.threshold([1.0, 1.0, 9.0, 9.0]) == 5.0
     s = html_text.smooth([0.0, 0.0, 9.0, 0.0, 0.0])
@@ -244,11 +313,17 @@ def test_chat_trees(spark):
     assert chat_format.parse(got[1, 2]["formatted"]) == [("user", "q"), ("assistant", "a")]
     assert chat_format.format_trees(messages, best=1).count() == 3
     assert chat_format.format_trees(empty(messages)).count() == 0
-    with pytest.raises(ValueError):
-        chat_format.format_trees(messages.unionByName(messages)).count()
-    circle = spark.createDataFrame([(1, 1, 2, "u", "", 0.0), (1, 2, 1, "u", "", 0.0)], messages.schema)
-    with pytest.raises(ValueError):
-        chat_format.format_trees(circle).count()
+    twice = chat_format.format_trees(messages.unionByName(messages))
+    assert sorted(r["formatted"] for r in twice.collect()) == sorted(r["formatted"] for r in got.values())
+
+
+def test_chat_circles_and_repeated_ids(spark):
+    rows = [(1, 1, 2, "user", "a", 1.0), (1, 2, 3, "assistant", "b", 0.0), (1, 3, 1, "user", "c", 0.0), (1, 4, 2, "assistant", "d", 0.0), (2, 7, 7, "user", "me", 0.0), (3, 1, None, "user", "x", 0.0), (3, 1, 9, "user", "w", 0.0), (3, 2, 1, "assistant", "y", 0.0)]
+    rows += [(4, i, i % 6 + 1, "user", str(i), 0.0) for i in range(1, 7)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {(r["tree"], r["leaf"]): [t for _, t in chat_format.parse(r["formatted"])] for r in chat_format.format_trees(messages).collect()}
+    # the circle 1 -> 2 -> 3 -> 1 is cut above its smallest message
+    assert got == {(1, 4): ["a", "c", "b", "d"], (2, 7): ["me"], (3, 2): ["x", "y"], (4, 2): ["1", "6", "5", "4", "3", "2"]}
 
 
 def test_chat_chains(spark):
