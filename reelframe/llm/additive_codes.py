@@ -6,27 +6,32 @@ after another, and are then fitted together: encode by beam search, solve the le
 squares problem of all codewords, and again.  Encoding keeps the ``BEAM`` best partial
 sums at each codebook.  With the codes goes the norm of the sum and of the vector.
 
-A query is answered from tables of its inner products with all codewords: a code's
-score is the sum of ``BOOKS`` look-ups, scaled by the stored norms (vector by sum).  The best
-``SHORTLIST`` codes of a query are scored anew on the original vectors in double
-precision, and the ``k`` nearest are returned.
+The rows are dealt by a hash into groups of ``GROUP`` at most; a task holds one group, its
+codes and vectors, and all queries stream by.  So each code and vector is shuffled
+once, and a query once for each group.  A query is answered from tables of its inner
+products with all codewords: a code's score is the sum of ``BOOKS`` look-ups, scaled by
+the stored norms (vector by sum).  Of each group the best codes, one in ``SHARE`` and
+``SHORTLIST`` at least, are scored anew on the original vectors in double precision, and
+the group's nearest go on; of these the ``k`` nearest are returned.  As each group has a
+shortlist of its own, what is scored anew grows with the rows, and recall does not fall
+as they do.  ``exact=True`` scores every row anew, in blocks.
 
 What is fitted on a sample are the codebooks alone (``FIT_ROWS`` rows at most, those
 with the smallest hash of their id); every row is encoded, and every query is held
-against all codes, block of queries by block of codes.  Equal vectors are encoded
-once and stand for their k + 1 smallest ids, which no ranking can need more of, so a
-vector with very many copies neither fills the shortlist nor one task.
+against all codes.  Equal vectors are encoded once and stand for their k + 1 smallest
+ids, which no ranking can need more of, so a vector with very many copies neither fills
+the shortlist nor one task.  Codes are of directions: a vector's length is only in its norm.
 
 Nulls and odd input: rows whose vector is null, zero, of another length than most or
 with null or non-finite components, or whose id is null, are neither queries nor
 candidates; ties go to the smaller id; a repeated id counts once for each different
 vector; with fewer candidates than k all are returned; empty tables give no rows;
-other columns are not read.
+components may be floats or doubles, and scores are of their own precision; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import Scratch, read
+from reelframe.llm.common import Scratch, against, labels, read
 
 BOOKS, WORDS, BEAM = 32, 64, 6
 FIT_ROWS, ROUNDS, FIT_BEAM = 16_384, 3, 4
-K, SHORTLIST = 20, 300
-QUERY_BLOCK, CODE_BLOCK, CODE_GROUP = 256, 8192, 256
+K, SHORTLIST, SHARE = 20, 64, 256
+GROUP, LEAST_GROUP, BLOCK = 1 << 17, 4096, 8192  # rows of a group at most, and at least where there are several
 
 
 class Codebooks:
@@ -119,9 +124,10 @@ class Codebooks:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part; v: array of float."""
+    """(id, v) of the rows that take part; v: array of float or double."""
     v = F.col(vector_col)
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).select(F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda e: e != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -129,82 +135,99 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = K, shortlist: int = SHORTLIST) -> DataFrame:
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in single precision, however large or small they are."""
+    x = x / np.abs(x).max(axis=1, keepdims=True).astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products over the last axis in double precision, component after component."""
+    total = np.zeros(np.broadcast_shapes(x.shape[:-1], q.shape[:-1]))
+    for j in range(x.shape[-1]):
+        total += x[..., j].astype(np.float64) * q[..., j].astype(np.float64)
+    return total
+
+
+def encode(books: Codebooks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds code and scale (the vector's norm by that of its code's sum) to (rep, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column("v")).astype(np.float64)
+                x = directions(v)
+                codes = books.encode(x)
+                norm = np.abs(v).max(axis=1) * np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1)
+                scale = norm / np.maximum(np.linalg.norm(books.decode(codes), axis=1), 1e-12)
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["rep", "v", "code", "scale"])
+
+    return run
+
+
+def nearest_in_group(held: pa.Table, books: Codebooks, keep: int, exact: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Answers queries (rep: their number, v) with the ``keep`` nearest rows of a group: query, rep, score."""
+    reps, x, scale = held.column("rep").to_numpy(), matrix(held.column("v")), held.column("scale").to_numpy()
+    codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
+    short = len(reps) if exact else min(len(reps), max(SHORTLIST, 3 * keep, len(reps) // SHARE))
+
+    def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        q = matrix(b.column("v"))
+        if short < len(reps):
+            guess, rows, small = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), directions(q)
+            for at in range(0, len(reps), BLOCK):
+                own = slice(at, min(at + BLOCK, len(reps)))
+                s = books.scores(small, codes[own], scale[own])
+                guess, rows = np.concatenate([guess, s], axis=1), np.concatenate([rows, np.broadcast_to(np.arange(own.start, own.stop), s.shape)], axis=1)
+                if guess.shape[1] > short:
+                    top = np.argpartition(-guess, short - 1, axis=1)[:, :short]
+                    guess, rows = (np.take_along_axis(z, top, axis=1) for z in (guess, rows))
+        out = []
+        for i in range(len(q)):
+            near, score = (rows[i], products(x[rows[i]], q[i])) if short < len(reps) else (np.arange(len(reps)), products(x, q[i]))
+            best = np.lexsort((reps[near], -score))[:keep]
+            out.append((near[best], score[best]))
+        at = np.repeat(np.arange(len(q)), [len(n) for n, _ in out])
+        yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(at)), pa.array(reps[np.concatenate([n for n, _ in out])]), pa.array(np.concatenate([s for _, s in out]))], names=["query", "rep", "score"])
+
+    return answer
+
+
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = K, exact: bool = False, group: int = GROUP) -> DataFrame:
     """The k nearest by inner product of each row whose id ``every`` divides: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "additive-codes")
     rows = usable(vectors, id_col, vector_col).dropDuplicates(["id", "v"])
-    members = scratch.keep(rows.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1), "members")
-    first = members.where("nth = 1").select(F.col("id").alias("rep"), "v")
-    sample = first.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).collect()
-    answer = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], answer)
-    books = Codebooks.fit(np.array([r["v"] for r in sorted(sample, key=lambda r: r["rep"])], np.float32))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(ids: list, vs: list) -> pa.RecordBatch:
-            x = np.concatenate(vs)
-            codes = books.encode(x)
-            scale = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(books.decode(codes), axis=1), 1e-12)
-            own = np.concatenate(ids).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"block": [int(own[0])], "ids": [own.tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()]})
-
-        ids, vs, n = [], [], 0
-        for whole in batches:
-            for b in (whole.slice(i, CODE_BLOCK) for i in range(0, whole.num_rows, CODE_BLOCK)):
-                ids.append(b.column("rep").to_numpy())
-                vs.append(matrix(b.column("v")))
-                n += b.num_rows
-                if n >= CODE_BLOCK:
-                    yield pack(ids, vs)
-                    ids, vs, n = [], [], 0
-        if n:
-            yield pack(ids, vs)
-
-    codes = scratch.keep(first.mapInArrow(encode, "block long, ids binary, codes binary, scale binary"), "codes")
-    n_groups = max(1, -(-codes.count() // CODE_GROUP))
-
-    asked = scratch.keep(rows.where(F.pmod("id", F.lit(every)) == 0), "asked")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def each(n: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    # each block of queries meets each group of code blocks once
-    left = asked.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).alias("qblock"), each(n_groups).alias("part"))
-    right = codes.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(n_groups))).withColumn("qblock", each(n_blocks))
-
-    def scan(queries: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"query_id": [], "v": [], "rep": [], "guess": []}
-        if queries.num_rows and held.num_rows:
-            q = matrix(queries.column("v").combine_chunks())
-            best_s, best_i = np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0), np.int64)
-            for ids, c, scale in zip(held.column("ids"), held.column("codes"), held.column("scale"), strict=True):
-                ids = np.frombuffer(ids.as_py(), np.int64)
-                s = books.scores(q, np.frombuffer(c.as_py(), np.uint8).reshape(len(ids), -1), np.frombuffer(scale.as_py(), np.float32))
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-                if s.shape[1] > shortlist:
-                    top = np.argpartition(-s, shortlist - 1, axis=1)[:, :shortlist]
-                    s, i = np.take_along_axis(s, top, axis=1), np.take_along_axis(i, top, axis=1)
-                best_s, best_i = s, i
-            at = pa.array(np.repeat(np.arange(len(q)), best_i.shape[1]))
-            return pa.table({"query_id": queries.column("id").take(at), "v": queries.column("v").take(at), "rep": best_i.ravel(), "guess": best_s.ravel()})
-        return pa.table({"query_id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32())), "rep": pa.array([], pa.int64()), "guess": pa.array([], pa.float32())})
-
-    near = left.groupBy("qblock", "part").cogroup(right.groupBy("qblock", "part")).applyInArrow(scan, "query_id long, v array<float>, rep long, guess float")
-    if n_groups > 1:
-        near = near.withColumn("r", F.row_number().over(W.partitionBy("query_id", "v").orderBy(F.desc("guess"), "rep"))).where(F.col("r") <= shortlist)
-    # anew on the original vectors: products and sums in double, component by component
-    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, e: s + e)
-    scored = near.select("query_id", "v", "rep").join(first.select("rep", F.col("v").alias("w")), "rep").select("query_id", "rep", "v", "w", product.alias("score"))
-    ranked = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id", "v").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    whole = ranked.join(members.select(F.col("v").alias("w"), F.col("id").alias("vec_id")), "w").where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(W.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id"))
+    same = W.partitionBy("v").orderBy("id")
+    members = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    members = scratch.keep(members.withColumn("rep", F.first("id").over(same)), "members")
+    first = members.where("nth = 1").select("rep", "v")
+    sample = first.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = np.argsort(sample.column("rep").to_numpy(), kind="stable")
+    books = Codebooks.fit(directions(matrix(sample.column("v"))[order]))
+
+    kind = first.schema["v"].dataType.simpleString()
+    codes = scratch.keep(first.mapInArrow(encode(books), f"rep long, v {kind}, code binary, scale double"), "codes")
+    asked = scratch.keep(rows.where(F.pmod("id", F.lit(every)) == 0).withColumn("query", F.monotonically_increasing_id()), "asked")
+
+    # groups of bounded size; where few rows are enough for all, as many as there are tasks
+    n, wide = codes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // group), min(wide, n // LEAST_GROUP))
+    places = F.array(*(F.lit(p).cast("long") for p in labels(spark, parts)))
+    held = codes.select(F.get(places, F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).alias("part"), F.lit(False).alias("asked"), "rep", "v", "code", "scale")
+    queries = asked.select(F.explode(places).alias("part"), F.lit(True).alias("asked"), F.col("query").alias("rep"), "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("scale"))
+    near = against(held.unionByName(queries), "part", lambda t: nearest_in_group(t, books, k + 1, exact), "query long, rep long, score double", parts)
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))
+    ranked = near.withColumn("r", best).where(F.col("r") <= k + 1).join(asked.select("query", F.col("id").alias("query_id")), "query")
+    whole = ranked.join(members.select("rep", F.col("id").alias("vec_id")), "rep").where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return whole.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -6,11 +6,12 @@ radius r, every code up to distance segments * (r + 1) - 1 has been seen.  A que
 grows r until the k-th best verified distance is within that bound; what it returns is
 exact, ties included.
 
-The codes are dealt into blocks of bounded size with an index of their own; a block of
-queries meets each block of codes once and returns its best, and the best of all
-blocks are ranked.  Equal codes are indexed once and stand for their k + 1 smallest
-ids, which no ranking can need more of, so a code with very many copies neither fills
-a bucket nor a task.
+The codes are dealt by a hash into groups of bounded size.  A task holds one group,
+builds its index once, and all queries stream by; it returns the best of each query, and
+the best of all groups are ranked.  So a code is shuffled once and a query once for
+each group.  Equal codes are indexed once and stand for their k + 1 smallest ids, which
+no ranking can need more of, so a code with very many copies neither fills a bucket
+nor a task.
 
 Nulls and odd input: rows with a null id, or a vector that is null, empty, has null
 or non-finite components or not the usual length, are neither queries nor candidates; a zero component
@@ -21,7 +22,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import Scratch, read
+from reelframe.llm.common import Scratch, against, labels, read
 
 K = 10
-QUERY_BLOCK, CODE_BLOCK = 256, 1 << 18
+GROUP, LEAST_GROUP = 1 << 18, 8192  # codes of a group at most, and at least where there are several
 
 
 class MultiIndex:
@@ -93,38 +94,42 @@ def binary_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, code binary")
 
 
-def search_codes(codes: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
+def nearest_in_group(held: pa.Table, keep: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Answers queries (rep: their number, code) with the ``keep`` nearest codes of a group: query, rep, distance."""
+    reps, raw = held.column("rep").to_numpy(), held.column("code").to_pylist()
+    index = MultiIndex(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1))
+
+    def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for c in b.column("code").to_pylist():
+            rows, dist = index.nearest(np.frombuffer(c, np.uint8), keep)
+            best = np.lexsort((reps[rows], dist))[:keep]
+            out.append((reps[rows[best]], dist[best]))
+        at = np.repeat(np.arange(len(out)), [len(r) for r, _ in out])
+        yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(at)), pa.array(np.concatenate([r for r, _ in out])), pa.array(np.concatenate([d for _, d in out]).astype(np.int32))], names=["query", "rep", "distance"])
+
+    return answer
+
+
+def search_codes(codes: DataFrame, queries: DataFrame, *, k: int = K, group: int = GROUP) -> DataFrame:
     """The k nearest of ``codes`` (id, code) for each of ``queries`` (id, code), the row with its own id left out."""
-    scratch = Scratch(codes.sparkSession, "hamming-search")
-    own = W.partitionBy("code").orderBy("id")
-    members = scratch.keep(codes.dropDuplicates(["id", "code"]).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1), "members")
-    asked = scratch.keep(queries.dropDuplicates(["id", "code"]), "asked")
-    first = members.where("nth = 1").select("code")
-    n_parts = max(1, -(-first.count() // CODE_BLOCK))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def each(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = asked.select("id", "code", F.pmod(F.xxhash64("id", "code"), F.lit(n_blocks)).alias("qblock"), each(n_parts).alias("part"))
-    right = first.select("code", F.pmod(F.xxhash64("code"), F.lit(n_parts)).alias("part"), each(n_blocks).alias("qblock"))
-
-    def scan(q: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"query_id": [], "query_code": [], "code": [], "distance": []}
-        if q.num_rows and held.num_rows:
-            raw = held.column("code").to_pylist()
-            index = MultiIndex(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1))
-            for i, c in zip(q.column("id").to_pylist(), q.column("code").to_pylist(), strict=True):
-                rows, dist = index.nearest(np.frombuffer(c, np.uint8), k + 1)
-                out["query_id"] += [i] * len(rows)
-                out["query_code"] += [c] * len(rows)
-                out["code"] += [raw[r] for r in rows]
-                out["distance"] += dist.tolist()
-        return pa.table([pa.array(out["query_id"], pa.int64()), pa.array(out["query_code"], pa.binary()), pa.array(out["code"], pa.binary()), pa.array(out["distance"], pa.int32())], names=list(out))
-
-    near = left.groupBy("qblock", "part").cogroup(right.groupBy("qblock", "part")).applyInArrow(scan, "query_id long, query_code binary, code binary, distance int")
-    whole = near.join(members.select("code", F.col("id").alias("vec_id")), "code").where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(W.partitionBy("query_id", "query_code").orderBy("distance", "vec_id"))
+    spark = codes.sparkSession
+    scratch = Scratch(spark, "hamming-search")
+    same = W.partitionBy("code").orderBy("id")
+    members = codes.dropDuplicates(["id", "code"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    members = scratch.keep(members.withColumn("rep", F.first("id").over(same)), "members")
+    asked = scratch.keep(queries.dropDuplicates(["id", "code"]).withColumn("query", F.monotonically_increasing_id()), "asked")
+    first = members.where("nth = 1")
+    n, wide = first.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // group), min(wide, n // LEAST_GROUP))
+    places = F.array(*(F.lit(p).cast("long") for p in labels(spark, parts)))
+    held = first.select(F.get(places, F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")).alias("part"), F.lit(False).alias("asked"), "rep", "code")
+    sent = asked.select(F.explode(places).alias("part"), F.lit(True).alias("asked"), F.col("query").alias("rep"), "code")
+    near = against(held.unionByName(sent), "part", lambda t: nearest_in_group(t, k + 1), "query long, rep long, distance int", parts)
+    best = F.row_number().over(W.partitionBy("query").orderBy("distance", "rep"))
+    ranked = near.withColumn("r", best).where(F.col("r") <= k + 1).join(asked.select("query", F.col("id").alias("query_id")), "query")
+    whole = ranked.join(members.select("rep", F.col("id").alias("vec_id")), "rep").where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "vec_id"))
     return whole.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 

@@ -16,10 +16,13 @@ def vectors(spark, n=400, d=16, seed=0, copies=120):
     return x, spark.createDataFrame(rows + odd, FIELDS)
 
 
-def test_additive_against_brute_force(spark):
+@pytest.mark.parametrize("every_row", [False, True])
+def test_additive_against_brute_force(spark, monkeypatch, every_row):
+    monkeypatch.setattr(additive_codes, "SHORTLIST", 20)
+    monkeypatch.setattr(additive_codes, "LEAST_GROUP", 100)
     x, df = vectors(spark)
     got = {}
-    for r in additive_codes.search(df, every=20, k=10, shortlist=60).collect():
+    for r in additive_codes.search(df, every=20, k=10, exact=every_row).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     exact = x.astype(float) @ x.astype(float).T
     hits = 0
@@ -31,13 +34,35 @@ def test_additive_against_brute_force(spark):
         scores = [ranks[k][1] for k in range(1, 11)]
         assert scores == sorted(scores, reverse=True)
         assert all(abs(s - exact[q, v]) < 1e-9 for v, s in ranks.values())
-    assert hits >= 0.9 * 10 * len(got)
+    assert hits >= (1 if every_row else 0.9) * 10 * len(got)
     # of equal vectors the smaller ids
     for ranks in got.values():
         own = [v for v, _ in (ranks[k] for k in sorted(ranks)) if 50 <= v < 170]
         assert own == sorted(own)
 
 
+def test_recall_does_not_fall_with_the_rows(spark):
+    """In one group, at two sizes, with the production shortlist."""
+    rng = np.random.default_rng(8)
+    for n in (2000, 20_000):
+        x = rng.normal(size=(n, 32)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in additive_codes.search(df.coalesce(4), every=n // 20, group=1 << 17).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        exact = x[:: n // 20].astype(float) @ x.astype(float).T
+        hits = [len(got[q] & set([j for j in np.argsort(-exact[i]) if j != q][:20])) for i, q in enumerate(range(0, n, n // 20))]
+        assert np.mean(hits) >= 0.95 * 20
+
+
+def test_additive_in_double_precision(spark):
+    rows = [(0, [1e200, 1.0]), (20, [1e-200, 0.0]), (1, [1e-150, 3.0]), (2, [0.1, 0.2]), (3, [-1.0, 1e-300])]
+    got = additive_codes.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()
+    by = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+    x = dict(rows)
+    assert len(by) == 8 and all(s == x[q][0] * x[v][0] + x[q][1] * x[v][1] for (q, v), s in by.items())
+
+
 def test_additive_on_little(spark):
     _, df = vectors(spark)
     assert additive_codes.search(empty(df)).count() == 0
@@ -60,7 +85,8 @@ def test_codes_shrink_the_error():
 
 
 @pytest.mark.parametrize("d,k", [(16, 5), (64, 10), (70, 3)])
-def test_hamming_is_exact(spark, d, k):
+def test_hamming_is_exact(spark, monkeypatch, d, k):
+    monkeypatch.setattr(hamming_search, "LEAST_GROUP", 80)
     x, df = vectors(spark, d=d, seed=d)
     codes = hamming_search.binary_codes(df, "vec_id", "embedding")
     got = {}
