@@ -15,7 +15,8 @@ domain gets what its target takes.
 At the least value, rate = max(0, 1 + posterior . pull), one pull per domain.  Each step
 moves the pulls along the gradient, scaled by the second derivatives over the documents
 whose rate is not 0, and projects the rates onto >= 0; a step is halved until it descends.
-Steps go on until the gradient vanishes, and more than ``STEPS`` are an error.  If a
+Steps go on until the gradient vanishes, or nothing descends any more; ``STEPS`` of them
+that end otherwise count as a target missed.  If a
 target is then missed by more than ``NEAR`` of itself, the second term is made smaller,
 down to ``LEAST_RIDGE``.  Where that does not reach it either, no sensible rates match: the rates are
 those at RIDGE, ``targets_met`` is false in every row, and a warning gives the shares.
@@ -50,8 +51,8 @@ from reelframe.llm.length_buckets import word_count
 
 GRID, TEMPER, RIDGE = 256, 3.0, 1e-4
 LEAST_RIDGE, NEAR = 1e-10, 1e-3
-STEPS, CLOSE = 200, 1e-7
-MOST_RATE = math.inf  # rates are bounded below only
+STEPS, CLOSE = 40, 1e-7
+SMALL = 100_000  # rows of rates that are sent to all executors at most
 #: Share of the tokens that each value of labels.quality is to have.
 TARGETS = {0: 0.05, 1: 0.95}
 SYMBOLS = "#*%$&|=+<>{}[]_~^!?"
@@ -70,9 +71,9 @@ def features(text: Column) -> list[Column]:
 
 def fit(featured: DataFrame, labels: DataFrame, id_col: str, label_col: str, domains: list) -> list[tuple | None]:
     """Per domain its log prior, means and deviations; None for one without rows."""
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
-    x = [c for c in featured.columns if c.startswith("x")]
-    rows = featured.join(own, "id").where(F.col("label").isin(domains)).groupBy("label").agg(F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in x for f, a in ((F.avg, "m"), (F.stddev_pop, "s")))).collect()
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("label"))
+    x = [c for c in featured.columns if c.startswith("__x")]
+    rows = featured.join(own, "__id").where(F.col("label").isin(domains)).groupBy("label").agg(F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in x for f, a in ((F.avg, "m"), (F.stddev_pop, "s")))).collect()
     total = sum(r["n"] for r in rows)
     by = {r["label"]: (math.log(r["n"] / total), [r[f"m_{c}"] for c in x], [max(FLOOR, r[f"s_{c}"]) for c in x]) for r in rows}
     return [by.get(d) for d in domains]
@@ -134,32 +135,30 @@ def solve(cells: DataFrame, targets: list[float]) -> tuple[list[float], list[flo
     def met(s: np.ndarray) -> bool:
         return bool(len(live) == np.count_nonzero(goal + mass) and np.all(np.abs(s - g) <= NEAR * np.where(g > 0, g, m)))
 
-    x, ridge, at_ridge = np.zeros(len(live)), RIDGE, None
-    now = look(x)
-    for _ in range(STEPS):
-        gradient = now[1] + ridge * m * x - g
-        done = np.max(np.abs(gradient) / m) < CLOSE
-        if not done:
-            move = -np.linalg.solve(now[2] + ridge * np.diag(m), gradient)
+    def descend(x: np.ndarray, now: tuple, ridge: float) -> tuple[np.ndarray, tuple]:
+        for _ in range(STEPS):
+            gradient = now[1] + ridge * m * x - g
+            if np.max(np.abs(gradient) / m) < CLOSE:
+                break
+            move = -np.linalg.lstsq(now[2] + ridge * np.diag(m), gradient, rcond=None)[0]
             value, size = now[0] + ridge * (m @ (x * x)) / 2 - g @ x, 1.0
-            while not done:
-                to = x + size * move
-                then = look(to)
-                if then[0] + ridge * (m @ (to * to)) / 2 - g @ to <= value + 1e-4 * size * (gradient @ move):
-                    x, now = to, then
+            while size > 1e-4:
+                then = look(to := x + size * move)
+                if then[0] + ridge * (m @ (to * to)) / 2 - g @ to < value + 1e-4 * size * (gradient @ move):
                     break
-                size /= 2
-                done = size < 1e-9  # the numbers' precision ends here
-        if done:
-            at_ridge = at_ridge or (x, now[1])
-            if met(now[1]):
-                break
-            if ridge <= LEAST_RIDGE:
-                x, now = at_ridge[0], (0.0, at_ridge[1])
-                break
-            ridge /= 100
-    else:
-        raise RuntimeError(f"the rates did not converge in {STEPS} steps")
+                size /= 4
+            else:
+                break  # the numbers' precision ends here
+            x, now = to, then
+        return x, now
+
+    x, now = descend(np.zeros(len(live)), look(np.zeros(len(live))), RIDGE)
+    at_ridge, ridge = (x, now), RIDGE
+    while not met(now[1]) and ridge > LEAST_RIDGE:
+        ridge /= 100
+        x, now = descend(x, now, ridge)
+    if not met(now[1]):
+        x, now = at_ridge
     pulls, shares = np.zeros(k), np.zeros(k)
     pulls[live], shares[live] = x, now[1]
     if not met(now[1]):
@@ -186,23 +185,23 @@ def mix(documents: DataFrame, labels: DataFrame, *, labelled: DataFrame | None =
 
     def featured(df: DataFrame, *more: Column) -> DataFrame:
         x = features(F.col(text_col))
-        return df.select(F.col(id_col).cast("long").alias("id"), *more, *(c.alias(f"x{i}") for i, c in enumerate(x)))
+        return df.select(F.col(id_col).cast("long").alias("__id"), *more, *(c.alias(f"__x{i}") for i, c in enumerate(x)))
 
-    tokens = word_count(F.col(text_col)).alias("n_tokens")
-    narrow = scratch.keep(featured(documents, tokens), "features")
-    x = [F.col(c) for c in narrow.columns if c.startswith("x")]
+    tokens = word_count(F.col(text_col)).alias("__tokens")
+    # texts are read once: what the result needs of a row is written beside its features
+    held = scratch.keep(featured(documents, tokens, *(F.col(c).alias(f"__keep_{c}") for c in keep)), "features")
+    narrow = held.select(*(c for c in held.columns if not c.startswith("__keep_")))
+    x = [F.col(c) for c in narrow.columns if c.startswith("__x")]
     model = fit(narrow if labelled is None else featured(labelled), labels, id_col, label_col, domains)
-    cells = scratch.keep(narrow.groupBy(posterior(x, model).alias("p")).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    cells = scratch.keep(narrow.groupBy(posterior(x, model).alias("p")).agg(F.sum("__tokens").alias("tokens")), "cells")
     pulls, _, reached = solve(cells, [targets[d] for d in domains])
 
-    # a rate for each posterior; at most as many rows as the grid has points
-    rates = cells.select("p", F.round(rate(F.col("p"), pulls), 9).alias("rate"))
-    if keep == [id_col]:
-        source = narrow.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), "n_tokens", *x)
-    else:
-        source = documents.select(*keep, tokens, *(c.alias(f"x{i}") for i, c in enumerate(features(F.col(text_col)))))
-    out = source.withColumn("p", posterior(x, model)).join(F.broadcast(rates), "p")
-    return out.select(*keep, "n_tokens", F.transform("p", lambda v: v / F.lit(GRID)).alias("posterior"), "rate", draw(F.col(id_col), F.col("rate")).alias("copies"), F.lit(reached).alias("targets_met"))
+    # a rate for each posterior; at most as many rows as the grid has points, C(GRID + domains - 1, domains - 1)
+    rates = cells.select("p", F.round(rate(F.col("p"), pulls), 9).alias("__rate"))
+    rates = F.broadcast(rates) if cells.count() <= SMALL else rates
+    own = held.withColumn("p", posterior(x, model)).join(rates, "p")
+    part = F.transform("p", lambda v: v / F.lit(GRID)).alias("posterior")
+    return own.select(*(F.col(f"__keep_{c}").alias(c) for c in keep), F.col("__tokens").alias("n_tokens"), part, F.col("__rate").alias("rate"), draw(F.col("__id"), F.col("__rate")).alias("copies"), F.lit(reached).alias("targets_met"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,9 +99,9 @@ def brute_mix(rows, labels, targets):
     whole, goal = tokens.sum(), np.array([targets[k] for k in sorted(targets)])
     mass = (p * tokens).sum(axis=1) / whole
     r, step = np.ones(len(rows)), 1 / (1 + soft_mixing.RIDGE)
-    for _ in range(soft_mixing.STEPS):
+    for _ in range(200):
         residual = ((p * tokens * r).sum(axis=1) / whole - goal) / mass
-        r = np.clip(r - step * (p.T @ residual + soft_mixing.RIDGE * (r - 1)), 0, soft_mixing.MOST_RATE)
+        r = np.maximum(0, r - step * (p.T @ residual + soft_mixing.RIDGE * (r - 1)))
     return p, tokens, r
 
 
@@ -124,6 +124,15 @@ def test_mixing_is_native(spark, sf):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Cartesian", "BroadcastNestedLoop"))
 
 
+def test_mixing_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, "one two " * (i + 1), i, 0.5, "p") for i in range(20)], "doc_id long, text string, n_tokens long, x0 double, p string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = soft_mixing.mix(docs, labels, keep=["doc_id", "text", "x0", "p"])
+    assert got.columns[:4] == ["doc_id", "text", "x0", "p"]
+    rows = got.select("doc_id", "text", "n_tokens", "x0").collect()
+    assert len(rows) == 20 and all(r["text"] == "one two " * (r["doc_id"] + 1) and r["n_tokens"] == 2 * (r["doc_id"] + 1) and r["x0"] == 0.5 for r in rows)
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (4, None), (11, 0), (9, 5)], "doc_id long, quality int")
