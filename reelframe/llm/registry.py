@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from reelframe.llm import additive_codes, chat_format, hamming_search, html_text, language_id, length_buckets, near_dups, soft_mixing, toxicity, url_rules
+from reelframe.llm import additive_codes, chat_format, hamming_search, html_text, language_id, length_buckets, near_dups, pipeline, soft_mixing, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_near_dups": near_dups.query,
         "op9_language_id": language_id.query,
         "op10_chat_format": chat_format.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
