@@ -41,6 +41,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Call
             new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], names=[*names, *adds.names])
 
-    dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
+    # one partition without keys: of the rows as they are, so what makes them runs wide
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
     schema = T.StructType([*(rows.schema[n] for n in names), *adds.fields])
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

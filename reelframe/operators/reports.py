@@ -29,16 +29,19 @@ def frame_report(records: DataFrame, keys: list[str] | None = None, order: list[
     """Records of media to one judged row per frame, without the record's bytes.
 
     keys: the columns of a medium.  Foreign records before the first frame are left out.
+    Records are parsed and hashed where they are read; what is put in order and judged
+    are their header rows.
     per_archive: each archive of a medium is judged by itself; else a second one breaks
     the rules of the first.
     """
     keys, order = keys or [], order or MEDIA
     marked = records.withColumn("medium", F.lit(0)) if not keys else records
     keys = keys or ["medium"]
-    frames = after_prefix(marked, has_magic(F.col("record")), order, keys)
-    checked = check_frames(parse_headers(frames)).drop("record")
-    judged = validate_frames(checked, [*keys, "archive_uuid"] if per_archive else keys, order, mode)
-    return signatures(judged, verify, required, domain)
+    checked = check_frames(parse_headers(marked.withColumn("magic", has_magic(F.col("record"))))).drop("record")
+    if per_archive:
+        checked = after_prefix(checked, F.col("magic"), order, keys)
+    judged = validate_frames(checked, [*keys, "archive_uuid"] if per_archive else keys, order, mode).where("status <> 'prefix'")
+    return signatures(judged.drop("magic"), verify, required, domain)
 
 
 def inspect_summary(report: DataFrame) -> DataFrame:

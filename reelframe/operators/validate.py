@@ -18,6 +18,7 @@ from reelframe.sources.frames import ARCHIVE_END, CONTENT, METADATA
 
 #: Accepted records that a replay can be held against.
 HISTORY = 8192
+MAGIC = "magic"
 NEEDS = ["channel_type", "volume_block_size_kib", "archive_uuid", "archive_label", "global_frame_seq_num", "slice_seq_num", "channel_frame_seq_num", "is_end", "size_ok", "hash_ok", "padding_ok", "norm_hash", "header_error"]
 RESULT = T.StructType([T.StructField("status", T.StringType()), T.StructField("message", T.StringType())])
 
@@ -54,6 +55,7 @@ class Validator:
     ended: bool = False
     stopped: bool = False
     fresh: bool = True
+    framed: bool = False
     channels: dict = field(default_factory=dict)
     history: OrderedDict = field(default_factory=OrderedDict)
     replaying: int | None = None
@@ -63,9 +65,16 @@ class Validator:
         self.replaying = None
 
     def judge(self, frame: dict) -> tuple[str, str | None]:
-        """(status, message): ok, replay, warning, error, or unread after a restore's first error."""
+        """(status, message): ok, replay, warning, error, or unread after a restore's first error.
+
+        A record known to be without magic, before the first that has it, is a prefix.
+        """
         if self.stopped:
             return "unread", None
+        if not self.framed:
+            if not frame.get(MAGIC, True):
+                return "prefix", None
+            self.framed = True
         if frame.get("header_error"):
             return self.failed(f"header: {frame['header_error']}")
         if self.fresh:
@@ -191,4 +200,5 @@ def validate_frames(frames: DataFrame, keys: list[str], order: list[str], mode:
 
     Payloads are not needed: drop the record column first, so the fold moves headers only.
     """
-    return ordered_fold(frames, keys, order, lambda _: Validator(mode, seeded), lambda v, row: v.judge(row), RESULT, NEEDS)
+    inputs = [*NEEDS, *([MAGIC] if MAGIC in frames.columns else [])]
+    return ordered_fold(frames, keys, order, lambda _: Validator(mode, seeded), lambda v, row: v.judge(row), RESULT, inputs)

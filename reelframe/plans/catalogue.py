@@ -52,8 +52,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the documents; each document is a slice with one content channel."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slice_seq_num"), F.col("text").alias("data"))
-    cut = packing.cut_frames(docs, BLOCK)
-    numbered = packing.number_frames(cut, ["slice_seq_num", "channel_frame_seq_num"])
+    numbered = packing.number_streams(docs, BLOCK, ["slice_seq_num"])
     return numbered.withColumn("volume_seq_num", packing.volume_of(F.col("global_frame_seq_num"), BLOCK, VOLUME, TAKEN)).withColumn("channel_type", F.lit(fr.CONTENT))
 
 
