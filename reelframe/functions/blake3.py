@@ -94,6 +94,54 @@ def blake3_many(items: list[bytes], most: int = 8 << 20) -> list[bytes]:
     return out
 
 
+def _merged(level: np.ndarray, root: bool) -> np.ndarray:
+    """The chaining value (1, 8) of a tree over chunks' values (n, 8)."""
+    while len(level) > 1:
+        pairs = len(level) // 2
+        flags = PARENT | ROOT * (root and len(level) == 2)
+        up = _compress(np.broadcast_to(IV, (pairs, 8)), level[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.uint64), 64, flags)
+        level = np.concatenate([up, level[2 * pairs :]])
+    return level
+
+
+class Blake3:
+    """The digest of a stream of any length; holds one block of it and a value for each power of two."""
+
+    BLOCK = 1 << 20
+
+    def __init__(self):
+        self.rest, self.chunks, self.stack = bytearray(), 0, []
+
+    def update(self, data: bytes) -> Blake3:
+        self.rest += data
+        # at least a byte is kept back, as the last block is hashed as the root
+        while len(self.rest) > self.BLOCK:
+            node, size = self._tree(self.rest[: self.BLOCK], False), self.BLOCK
+            del self.rest[: self.BLOCK]
+            while self.stack and self.stack[-1][1] == size:
+                node, size = _merged(np.concatenate([self.stack.pop()[0], node]), False), 2 * size
+            self.stack.append((node, size))
+        return self
+
+    def _tree(self, part: bytes, root: bool) -> np.ndarray:
+        data, first = np.frombuffer(bytes(part), np.uint8), self.chunks
+        whole = len(data) // 1024
+        self.chunks += -(-len(data) // 1024)
+        if len(data) <= 1024:
+            return _chunks(data[None, :], np.array([first], np.uint64), root)
+        level = [_chunks(data[: whole * 1024].reshape(whole, 1024), np.arange(first, first + whole, dtype=np.uint64), False)]
+        if len(data) % 1024:
+            level.append(_chunks(data[None, whole * 1024 :], np.array([first + whole], np.uint64), False))
+        return _merged(np.concatenate(level), root)
+
+    def digest(self) -> bytes:
+        chunks, node = self.chunks, self._tree(self.rest, not self.stack)
+        self.chunks = chunks
+        for i, (left, _) in enumerate(reversed(self.stack)):
+            node = _merged(np.concatenate([left, node]), i == len(self.stack) - 1)
+        return np.ascontiguousarray(node[0]).astype("<u4").tobytes()
+
+
 @F.pandas_udf(T.BinaryType())
 def blake3(data: pd.Series) -> pd.Series:
     """BLAKE3 of a binary column; null for null."""

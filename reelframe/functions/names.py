@@ -119,6 +119,11 @@ def escape_display(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else escape_bytes(bytes(b)))
 
 
+def new_uuid() -> Column:
+    """A random UUID, version 4, for each row."""
+    return F.uuid()
+
+
 def source_spec(argument: str) -> tuple[str, str]:
     """(path to open, prefix inside the archive) of a source argument."""
     clean = re.sub(r"(?<=.)/+$", "", argument)

@@ -5,13 +5,16 @@ Each takes and returns DataFrames, or writes a spool directory, a plan or a file
 
 from __future__ import annotations
 
+import os
+import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.functions.blake3 import blake3_many
-from reelframe.operators import build, lookups, packing, reports
+from reelframe.functions.blake3 import Blake3
+from reelframe.operators import build, lookups, packing, pax, reports
+from reelframe.operators.scratch import Scratch
 from reelframe.sources import frames as fr
 from reelframe.sources import records, spool, walk
 
@@ -41,8 +44,7 @@ class Archive:
 
 def plan_tree(spark: SparkSession, sources: list[str], users: DataFrame | None = None, groups: DataFrame | None = None, slice_size: int = SLICE_SIZE, one_device: bool = False) -> DataFrame:
     """Entries of directory trees in slices; users and groups: (id, name), unknown ids have no name."""
-    tree = walk.scan_tree(spark, sources, one_device)
-    entries = tree.where("error IS NULL")
+    entries = walk.scan_tree(spark, sources, one_device).where("error IS NULL")
     for table, number, name in ((users, "uid", "uname"), (groups, "gid", "gname")):
         entries = lookups.named(entries, table, number, name, "id", "name") if table is not None else entries.withColumn(name, F.lit(""))
     return packing.pack_slices(entries, slice_size, order=["ord"])
@@ -81,6 +83,79 @@ def store(record: DataFrame, path: str, volume: int) -> None:
     spool.write_spool(own, path)
 
 
+def write_volumes(record: DataFrame, paths: list[str], overwrite: bool = False, per_file: int | None = None, bundle: str | None = None) -> int:
+    """An archive's volumes, in order, as spool directories, written in one go; how many volumes are still without one.
+
+    A directory with spool files is left alone unless ``overwrite``.  per_file: records of a
+    tape file, so that a volume is written by several tasks; all in one if not given.
+    bundle: a file that is put beside each volume, for recovery.
+    """
+    for p in paths:
+        if os.path.isdir(p) and spool.spool_files(p) and not overwrite:
+            raise UsageError(f"{p} holds a volume already")
+    if bundle:
+        for p in paths:
+            install_bundle(bundle, p)
+    targets = F.array(*(F.lit(p) for p in paths))
+    heads = record.select("global_frame_seq_num", "volume_seq_num")
+    starts = heads.groupBy("volume_seq_num").agg(F.min("global_frame_seq_num").alias("first")) if per_file else None
+    own = record.where(F.col("volume_seq_num") < len(paths))
+    file_num = F.lit(1).cast("long")
+    if per_file:
+        own = own.join(lookups.bounded(starts), "volume_seq_num")
+        file_num = F.floor((F.col("global_frame_seq_num") - F.col("first")) / per_file) + 1
+    rows = own.select(file_num.alias("file_num"), F.get(targets, F.col("volume_seq_num").cast("int")).alias("file_name"), F.col("global_frame_seq_num").alias("rec_idx"), "record")
+    spool.write_spool(rows, paths[0], "overwrite" if overwrite else "append")
+    return max(0, (heads.agg(F.max("volume_seq_num")).first()[0] or 0) + 1 - len(paths))
+
+
+def install_bundle(source: str, root: str, record: int | None = None) -> int:
+    """Puts a recovery bundle into a spool directory; the bytes it takes, in whole records if on tape."""
+    os.makedirs(root, exist_ok=True)
+    pending = os.path.join(root, "RECOVERY.TMP")
+    shutil.copyfile(source, pending)
+    os.rename(pending, os.path.join(root, "RECOVERY.TAR"))
+    size = os.path.getsize(source)
+    return size if record is None else -(-size // record) * record
+
+
+def forwarded(records: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """What a reader sends of one volume: frames whose header parses; and how many it sent, skipped and met.
+
+    Foreign records before the first frame are skipped; the first frame must parse, later
+    ones that do not are left out, and who receives them decides about the gap.
+    """
+    order = order or reports.MEDIA
+    parsed = fr.parse_headers(records.withColumn("magic", fr.has_magic(F.col("record"))))
+    heads = parsed.select(*order, "magic", "header_error")
+    first = heads.where("magic").agg(F.min(F.struct(*order, "header_error")).alias("f")).first()["f"]
+    if first is None:
+        return parsed.where(F.lit(False)), {"forwarded_frames": 0, "skipped_prefix": heads.count(), "unavailable": 0, "filemarks": 0}
+    if first["header_error"]:
+        raise ValueError(f"the first frame does not parse: {first['header_error']}")
+    after = F.struct(*order) >= F.struct(*(F.lit(first[c]).cast(parsed.schema[c].dataType).alias(c) for c in order))
+    counts = heads.agg(F.count_if(after & F.col("header_error").isNull()).alias("forwarded_frames"), F.count_if(~after).alias("skipped_prefix"), F.count_if(after & F.col("header_error").isNotNull()).alias("unavailable"), F.countDistinct(order[0]).alias("filemarks")).first()
+    return parsed.where(after & F.col("header_error").isNull()), counts.asDict()
+
+
+def mt_pax(entries: DataFrame, prefix: str, first_slice: int = 0) -> tuple[dict, str]:
+    """Planned entries as a pax file for each slice from ``first_slice`` on; totals and the BLAKE3 of all.
+
+    entries: what ``plan_tree`` gives, with source_path.  Links are resolved over all
+    slices first, so an entry may be a link to one that was written earlier.
+    """
+    chosen = lookups.resolve_links(entries, first_slice)
+    scratch = Scratch(entries.sparkSession, "pax")
+    return pax.stream_hash(scratch.keep(pax.write_slices(chosen, prefix), "written"))
+
+
+def resumed(record: DataFrame, global_seq: int, volume: int) -> DataFrame:
+    """An archive's records from a resume point on, put on volumes from ``volume`` on."""
+    own = record.where(F.col("global_frame_seq_num") >= global_seq)
+    start = own.agg(F.min("volume_seq_num")).first()[0] or 0
+    return own.withColumn("volume_seq_num", F.col("volume_seq_num") - start + volume)
+
+
 def raw_store(spark: SparkSession, data: bytes, archive: Archive, path: str) -> int:
     """Uninterpreted bytes as one slice on one volume; the records written."""
     streams = spark.createDataFrame([(0, bytearray(data))], "slice_seq_num long, data binary")
@@ -136,10 +211,24 @@ def catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     return records.parse_plan(records.split_records(whole.select(F.lit("catalog").alias("name"), "bytes")))
 
 
+def catalog_to(spark: SparkSession, paths: list[str], to: str) -> int:
+    """The bytes of the catalog that an archive carries, written to a file as they stream by; their number."""
+    media = volumes(spark, paths)
+    report = reports.frame_report(media, mode="restore")
+    own = reports.catalog_frames(report.where("status = 'ok'").withColumn("one", F.lit(1)), ["one"])
+    parts = media.join(own.select("file_num", "rec_idx", "frame_payload_size", "global_frame_seq_num", "slice_seq_num"), ["file_num", "rec_idx"])
+    return reports.restore_to(parts.select("global_frame_seq_num", "slice_seq_num", fr.payload(F.col("record"), F.col("frame_payload_size")).alias("payload")), to)
+
+
+def processed_frames(report: DataFrame) -> int:
+    """Frames that an extraction took: replays, errors and what it did not read left out."""
+    return report.where(F.col("status").isin("ok", "warning")).count()
+
+
 def extract(spark: SparkSession, paths: list[str], to: str, salvage: bool = False) -> DataFrame:
     """Restores (or salvages) the content of volumes into a file; the frame report."""
     media = volumes(spark, paths)
-    report = reports.frame_report(media, mode="salvage" if salvage else "restore").persist()
+    report = Scratch(spark, "extract").keep(reports.frame_report(media, mode="salvage" if salvage else "restore"), "report")
     reports.restore_to(reports.restorable(media, report), to)
     return report
 
@@ -150,5 +239,8 @@ def dump(spark: SparkSession, source: str, target: str) -> dict:
 
 
 def plan_hash(path: str) -> str:
+    hasher = Blake3()
     with open(path, "rb") as f:
-        return blake3_many([f.read()])[0].hex()
+        while piece := f.read(1 << 20):
+            hasher.update(piece)
+    return hasher.digest().hex()

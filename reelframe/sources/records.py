@@ -6,6 +6,8 @@ ISO-8859-1, which maps every byte to one character and back.
 
 from __future__ import annotations
 
+import os
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,3 +157,72 @@ def encode_resume(first: str, header: dict, points: list[tuple[int, int, int]],
     lines += [f"/slice/{s}/{g}/{v}".encode() for s, g, v in points]
     lines += [f"/archive_end/{archive_end}".encode()] if archive_end is not None else []
     return b"".join(x + b"\0\n" for x in lines)
+
+
+class ResumeLog:
+    """A resume file that grows: records are appended and synced; a failure ends the log, not the run.
+
+    points are told when a slice starts and written once the frame that opens it is
+    acknowledged.  ``reopen`` cuts off a record that a crash left torn.
+    """
+
+    def __init__(self, path: str, out, last: int | None = None):
+        self.path, self.out, self.last, self.waiting, self.acked = path, out, last, [], None
+
+    @classmethod
+    def create(cls, path: str, opening: str, header: dict) -> ResumeLog:
+        self = cls(path, open(path, "xb"))  # noqa: SIM115
+        self.append(encode_resume(opening, header, []))
+        return self
+
+    @classmethod
+    def reopen(cls, path: str, restart: tuple[int, int, int] | None = None) -> ResumeLog:
+        out = open(path, "r+b")  # noqa: SIM115
+        end = out.read().rfind(b"\0\n")
+        out.truncate(end + 2 if end >= 0 else 0)
+        out.seek(0, os.SEEK_END)
+        self = cls(path, out)
+        if restart:
+            self.last = restart[0]
+            self.append(f"/slice/{restart[0]}/{restart[1]}/{restart[2]}".encode() + b"\0\n")
+        return self
+
+    def append(self, data: bytes) -> None:
+        if self.out is None:
+            return
+        try:
+            self.out.write(data)
+            self.out.flush()
+            os.fsync(self.out.fileno())
+        except OSError as e:
+            warnings.warn(f"{self.path}: later slices are not recorded ({e.strerror})", stacklevel=2)
+            self.out = None
+
+    def slice_started(self, slice_: int, global_seq: int) -> None:
+        self.waiting.append((slice_, global_seq))
+
+    def frame_acked(self, global_seq: int, volume: int) -> None:
+        self.acked = global_seq
+        while self.waiting and self.waiting[0][1] <= global_seq:
+            slice_, first = self.waiting.pop(0)
+            if self.last is None or slice_ > self.last:
+                self.append(f"/slice/{slice_}/{first}/{volume}".encode() + b"\0\n")
+                self.last = slice_
+
+    def completed(self) -> None:
+        self.append(f"/archive_end/{self.acked}".encode() + b"\0\n")
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Record ledgers, tab-separated with a header line: the rows of event ``record`` as (volume, file, global, bytes).
+
+    The volume is the number in the name of the folder that holds the file.
+    """
+    rows = spark.read.csv(path, sep="\t", header=True).where("event = 'record'")
+    volume = F.regexp_extract(F.col("_metadata.file_path"), "volume-([0-9]+)/", 1).try_cast("long")
+    return rows.select(volume.alias("volume"), *(F.col(c).cast("long").alias(c) for c in ("file", "global", "bytes")))
