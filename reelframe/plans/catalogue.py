@@ -80,6 +80,16 @@ def slice_pack(spark, sf_dir):
     return packed(spark, sf_dir)
 
 
+HELD, COST = 7000, 300
+
+
+@query(PACK.replace("b0 + size >= " + str(SLICE), f"(b0 + size >= {SLICE} OR m0 + cost >= {HELD})").replace("::BIGINT AS size FROM", "::BIGINT AS size, doc_id % 7 * 100 + {COST} AS cost FROM".replace("{COST}", str(COST))).replace("r(n, slice, file_num, s, k, b)", "r(n, slice, file_num, s, k, b, m)").replace("0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT", "0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT").replace("THEN 0 ELSE b0 + size END\n", f"THEN 0 ELSE b0 + size END, CASE WHEN (b0 + size >= {SLICE} OR m0 + cost >= {HELD}) THEN 0 ELSE m0 + cost END\n").replace("e.n, e.size, CASE", "e.n, e.size, e.cost, CASE").replace("ELSE r.b END AS b0", "ELSE r.b END AS b0, CASE WHEN full_ THEN 0 ELSE r.m END AS m0").replace("n + 1 AS m FROM r", "n + 1 AS nn FROM r").replace("e.n = r.m", "e.n = r.nn") + "SELECT ord, size, slice, file_num FROM p")
+def slice_pack_memory(spark, sf_dir):
+    """Slices that close at their size or at what their entries take in memory."""
+    own = entries(spark, sf_dir).withColumn("cost", F.col("ord") % 7 * 100 + COST)
+    return packing.pack_slices(own, SLICE, order=["ord"], memory=HELD, cost="cost").drop("cost")
+
+
 @query(PACK + "SELECT slice, count(*) AS entries, sum(size)::BIGINT AS bytes FROM p GROUP BY slice")
 def slice_summary(spark, sf_dir):
     return packing.slice_summary(packed(spark, sf_dir))
@@ -401,8 +411,11 @@ def source_concat(spark, sf_dir):
 
 
 def queries() -> dict:
+    from reelframe.plans import trials  # noqa: F401  its queries join those above
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 COMMENT, ALGORITHM = "untrusted comment: ", b"Ed"
 
 
-def parse_keys(texts: DataFrame, text: str = "value") -> DataFrame:
-    """(comment, key_id, public_key, error) of key files, one a row."""
+def parse_keys(texts: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(comment, key_id, public_key, error) of key files, one a row, after the columns ``keep``."""
     t = F.col(text)
     lines = F.split(t, "\n")
     coded = F.get(lines, F.lit(1))
@@ -25,7 +25,7 @@ def parse_keys(texts: DataFrame, text: str = "value") -> DataFrame:
         .when(F.substring(raw, 1, 2) != F.lit(ALGORITHM), "unknown algorithm")
     )
     good = error.isNull()
-    return texts.select(F.when(good, F.substr(F.get(lines, F.lit(0)), F.lit(len(COMMENT) + 1))).alias("comment"), F.when(good, F.substring(raw, 3, 8)).alias("key_id"), F.when(good, F.substring(raw, 11, 32)).alias("public_key"), error.alias("error"))
+    return texts.select(*(keep or []), F.when(good, F.substr(F.get(lines, F.lit(0)), F.lit(len(COMMENT) + 1))).alias("comment"), F.when(good, F.substring(raw, 3, 8)).alias("key_id"), F.when(good, F.substring(raw, 11, 32)).alias("public_key"), error.alias("error"))
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
