@@ -230,14 +230,12 @@ def train(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if not many:
         return Model([], None)
     cut = F.create_map(*(F.lit(v) for lang, n in many.items() for v in (lang, 4.0 * docs / n)))
-    rows = (
-        documents.where(able)
-        .select(F.col(lang_col).alias("lang"), at.alias("at"), F.length(text_col).alias("n"), F.col(text_col).alias("t"))
-        .where((F.col("at") / F.lit(2.0**64) + 0.5 < F.element_at(cut, F.col("lang"))) & F.col("n").between(1, chars))
-        .dropDuplicates(["lang", "at"])  # repeated rows fold before they meet
-    )
-    top = W.partitionBy("lang").orderBy("at")
-    rows = rows.withColumns({"k": F.row_number().over(top), "sum": F.sum("n").over(top) - F.col("n")}).where((F.col("k") <= docs) & (F.col("sum") < chars)).select("lang", "at", "t").collect()
+    low = (F.col("at") / F.lit(2.0**64) + 0.5 < F.element_at(cut, F.col("lang"))) & F.col("n").between(1, chars)
+    seen = documents.where(able).select(F.col(lang_col).alias("lang"), at.alias("at"), F.length(text_col).alias("n")).where(low).distinct()  # repeated rows fold before they meet
+    top = W.partitionBy("lang").orderBy("at", "n")
+    drawn = seen.withColumns({"k": F.row_number().over(top), "sum": F.sum("n").over(top) - F.col("n")}).where((F.col("k") <= docs) & (F.col("sum") < chars)).select("lang", "at")
+    texts = documents.where(able).select(F.col(lang_col).alias("lang"), at.alias("at"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(drawn), ["lang", "at"]).dropDuplicates(["lang", "at"]).collect()  # drawn: ``docs`` rows of a language at most
     rows.sort(key=lambda r: (r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
