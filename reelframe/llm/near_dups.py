@@ -20,7 +20,7 @@ The work follows the number of different texts, not of pairs:
   components are looked at again.  In a small one (``SMALL`` classes at most) pairs of
   different components are candidates like those above.  A larger one is cut into
   blocks of about ``BLOCK`` classes (fewer if they are long); the classes outside its
-  largest component are held against every block, first by their sketches.  Texts
+  largest component are held against every block, ``ASKED`` or so at a time, first by their sketches.  Texts
   follow only for those that may be linked with another component there, and a
   block returns no more links than join components.  No pairs are formed there.
 
@@ -50,7 +50,7 @@ from reelframe.llm.components import components
 
 SHINGLE, PERCENT = 2, 80
 P, R, BAND = 8, 10, 6
-SMALL, BLOCK = 24, 512
+SMALL, BLOCK, ASKED = 24, 512, 2048
 LONG = 1 << 20  # shingles that a block holds, about
 ROWS = 1000  # of a batch in Python
 BITS = 22  # of the map that keeps rows out of a shuffle
@@ -370,13 +370,14 @@ def linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFr
 
     # a large group in blocks; what is outside its largest component is held against each of them
     parts = scratch.keep(many.groupBy("hub", "c").agg(F.count("*").alias("m")), "parts")
-    largest = scratch.keep(parts.groupBy("hub").agg(F.max(F.struct("m", "c")).alias("x")).select("hub", F.col("x.c").alias("most")), "largest")
+    largest = scratch.keep(parts.groupBy("hub").agg(F.max(F.struct("m", "c")).alias("x"), F.ceil((F.sum("m") - F.max("m")) / ASKED).alias("turns")).select("hub", F.col("x.c").alias("most"), "turns"), "largest")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / LONG))
     cut = scratch.keep(many.join(largest, "hub").withColumn("blocks", blocks).join(classes.select("rep", "sketch"), "rep"), "cut")
     rows = ["rep", "c", "n", "sketch"]
-    held = cut.select(F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"), F.lit(False).alias("asked"), *rows)
-    asked = cut.where("c <> most").select("hub", *rows, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("nth"))
-    asked = asked.select(F.xxhash64("hub", "nth").alias("block"), F.lit(True).alias("asked"), *rows)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    place = F.xxhash64("hub", "nth", "turn").alias("block")
+    held = cut.select("hub", *rows, F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("nth"), upto("turns").alias("turn")).select(place, F.lit(False).alias("asked"), *rows)
+    asked = cut.where("c <> most").select("hub", *rows, F.pmod(F.xxhash64("rep", F.lit("asked")), F.col("turns")).alias("turn"), upto("blocks").alias("nth")).select(place, F.lit(True).alias("asked"), *rows)
     met = scratch.keep(against(held.unionByName(asked), "block", lambda t: outlook(t, percent), "block long, asked boolean, rep long, c long"), "met")
     whole = met.join(texts_of(met), "rep").select("block", "asked", "rep", "c", "text")
     third = scratch.keep(against(whole, "block", lambda t: joining(t, shingle, percent), "a long, b long"), "third")

@@ -56,6 +56,7 @@ def test_against_all_pairs(spark):
 def test_large_groups_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "SMALL", 4)
     monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "ASKED", 5)
     rows = corpus(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs).collect()} == brute(rows)
@@ -86,6 +87,18 @@ def test_words_and_case():
     assert near_dups.word_shingles("one") == {b"one"} and near_dups.word_shingles(" \n") == set()
 
 
+def test_matches_by_chance_follow_both_sizes():
+    rng = np.random.default_rng(1)
+    sketch = lambda n: near_dups.sketch(np.unique(rng.integers(0, 2**64, n, np.uint64)))
+    for n, m in ((3000, 3000), (3000, 400)):
+        pairs = [(sketch(n), sketch(m)) for _ in range(1500)]
+        seen = np.mean([((a == b) & (a > 0)).sum() for a, b in pairs])
+        told = float(near_dups.chance(np.array([n]), np.array([m]))[0])
+        assert abs(seen - told) < 0.02, (n, m, seen, told)
+    small, large = (float(near_dups.chance(np.array([2**20]), np.array([m]))[0]) for m in (2**10, 2**20))
+    assert small < large and abs(large - 0.1699 / 4) < 0.003
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
