@@ -121,17 +121,6 @@ def catalog_summary(entries: DataFrame) -> DataFrame:
     return entries.where("error IS NULL AND chdir IS NULL").rollup("slice").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def join_payloads(frames: DataFrame, keys: list[str], order: str, data: str, most: int = 1 << 26) -> DataFrame:
-    """Payloads of small streams as one value per key; a stream beyond ``most`` bytes is an error.
-
-    Larger streams come in order from restore_stream.
-    """
-    sizes = F.sum(F.octet_length(data))
-    held = frames.groupBy(*keys).agg(sizes.alias("__bytes"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d")))).alias("__parts"))
-    whole = F.aggregate("__parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["d"]))
-    return held.select(*keys, F.when(F.col("__bytes") > most, F.raise_error(F.lit("stream too large for one value"))).otherwise(whole).alias(data))
-
-
 def stream_digests(frames: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
     """SHA-256, in hex, of each key's payloads in order, of streams of any length.
 

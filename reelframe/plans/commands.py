@@ -201,14 +201,13 @@ def resume_file(spark: SparkSession, path: str, opening: str) -> bytes:
 
 
 def catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The plan that an archive carries, as entries; the catalog's bytes are those of one plan file."""
+    """The plan that an archive carries, as entries; the catalog's bytes, of any length, are those of one plan file."""
     media = volumes(spark, paths)
     report = reports.frame_report(media, mode="restore")
     own = reports.catalog_frames(report.where("status IN ('ok')").withColumn("one", F.lit(1)), ["one"])
-    raw = media.join(own.select("file_num", "rec_idx", "frame_payload_size", "global_frame_seq_num", "one"), ["file_num", "rec_idx"])
-    parts = raw.select("one", "global_frame_seq_num", fr.payload(F.col("record"), F.col("frame_payload_size")).alias("bytes"))
-    whole = reports.join_payloads(parts, ["one"], "global_frame_seq_num", "bytes", most=1 << 30)
-    return records.parse_plan(records.split_records(whole.select(F.lit("catalog").alias("name"), "bytes")))
+    raw = media.join(own.select("file_num", "rec_idx", "frame_payload_size", "global_frame_seq_num"), ["file_num", "rec_idx"])
+    parts = raw.select("global_frame_seq_num", fr.payload(F.col("record"), F.col("frame_payload_size")).alias("bytes"))
+    return records.parse_plan(Scratch(spark, "catalog").keep(records.split_stream(parts, "global_frame_seq_num", "bytes", "catalog"), "records"))
 
 
 def catalog_to(spark: SparkSession, paths: list[str], to: str) -> int:

@@ -6,9 +6,10 @@ ISO-8859-1, which maps every byte to one character and back.
 
 from __future__ import annotations
 
+import itertools
 import os
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,40 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.names import is_lower_hex
 from reelframe.functions.numbers import signed, unsigned
+from reelframe.operators.lookups import bounded
 
 KINDS = "fhdlcbps"
 PLAN = ["slice", "file_num", "kind", "size", "mtime", "uid", "uname", "gid", "gname"]
+#: Records of one file that are judged in one task.
+SPAN = 1 << 18
 RESUME = ["archive_uuid", "block_size_kib", "sign_key_id", "plan_blake3", "archive_name"]
 
 
+def _split(chunks: Iterable[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(state, record) of a file that comes in pieces; what is held is a piece and a record."""
+    held = b""
+    for chunk in chunks:
+        held, at = held + chunk, 0
+        while 0 <= (end := held.find(b"\0", at)) < len(held) - 1:
+            whole = held[end + 1] == 10
+            yield "record" if whole else "malformed", held[at:end]
+            if not whole:
+                return
+            at = end + 2
+        held = held[at:]
+    if held:
+        yield "truncated", held.removesuffix(b"\0")
+
+
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["name", "ord", "state", "record"])
+
+
+SPLIT = "name string, ord bigint, state string, record binary"
+
+
 def split_records(files: DataFrame, name: str = "name", data: str = "bytes") -> DataFrame:
     """(name, ord, state, record) from whole files: state is record, truncated or malformed.
 
@@ -30,30 +59,52 @@ def split_records(files: DataFrame, name: str = "name", data: str = "bytes") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, i = 0, 0
-                while raw and at < len(raw):
-                    i += 1
-                    end = raw.find(b"\0", at)
-                    if end < 0 or end + 1 == len(raw):
-                        out.append((n, i, "truncated", raw[at : end if end >= 0 else None]))
-                        break
-                    whole = raw[end + 1 : end + 2] == b"\n"
-                    out.append((n, i, "record" if whole else "malformed", raw[at:end]))
-                    if not whole:
-                        break
-                    at = end + 2
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["name", "ord", "state", "record"])
-
-    return files.select(F.col(name).cast("string"), F.col(data).cast("binary")).mapInArrow(run, "name string, ord bigint, state string, record binary")
+        files = ((n.as_py(), raw.as_py() or b"") for b in batches for n, raw in zip(b.column(0), b.column(1), strict=True))
+        yield from _batches((n, i, *found) for n, raw in files for i, found in enumerate(_split([raw]), 1))
+
+    return files.select(F.col(name).cast("string"), F.col(data).cast("binary")).mapInArrow(run, SPLIT)
+
+
+def split_stream(parts: DataFrame, order: str, data: str, name: str) -> DataFrame:
+    """What ``split_records`` gives, of one stream whose parts stand in rows; ``name`` is put beside its records.
+
+    The parts stream through one task in order, a batch at a time, as a record may begin in
+    one part and end in a later one.  The records are dealt anew by whoever reads them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = (raw.as_py() or b"" for b in batches for raw in b.column(1))
+        yield from _batches((name, i, *found) for i, found in enumerate(_split(chunks), 1))
+
+    return parts.select(order, F.col(data).cast("binary")).repartition(1).sortWithinPartitions(order).mapInArrow(run, SPLIT)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of plan or resume files; a file is one row on the way, as such files are read whole."""
-    return split_records(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
+    """What ``split_records`` gives, of plan or resume files by their path, read by ranges without Python.
+
+    A range of a file is a task.  How many records a range has is counted first; what
+    number its first record has follows from the ranges before it.  The reader drops a byte
+    order mark in front and does not tell whether the last record had its end; both follow
+    from the file's size.
+    """
+    text = _latin(F.col("piece"))
+    nul = F.instr(text, "\0")
+    rows = spark.read.text(path, lineSep="\0\n").select(
+        F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"),
+    )
+    ranges = rows.groupBy("name", "size", "start").agg(F.min("at").alias("least"), F.count("*").alias("n"), F.sum(F.octet_length("piece") + 2).alias("bytes"), F.min(F.when(nul > 0, F.col("at"))).alias("odd"))
+    file = W.partitionBy("name")
+    before = F.coalesce(F.sum("n").over(file.orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumns({"before": before, "total": F.sum("n").over(file), "extra": F.col("size") - F.sum("bytes").over(file)})
+    ranges = ranges.withColumn("stop", F.min(F.col("before") + F.col("odd") - F.col("least") + 1).over(file)).drop("size", "bytes", "odd", "n")
+    placed = rows.drop("size").join(bounded(ranges), ["name", "start"]).withColumn("ord", F.col("before") + F.col("at") - F.col("least") + 1)
+    placed = placed.where(F.col("stop").isNull() | (F.col("ord") <= F.col("stop")))
+    marked = (F.col("ord") == 1) & F.col("extra").isin(3, 1)
+    torn = (F.col("ord") == F.col("total")) & F.col("extra").isin(-2, 1)
+    state = F.when(torn & nul.isin(0, F.length(text)), "truncated").when(nul > 0, "malformed").otherwise("record")
+    record = F.when(nul > 0, F.expr("substring(piece, 1, instr(decode(piece, 'ISO-8859-1'), '\\0') - 1)")).otherwise(F.col("piece"))
+    return placed.select("name", "ord", state.alias("state"), F.when(marked, F.concat(F.lit(b"\xef\xbb\xbf"), record)).otherwise(record).alias("record"))
 
 
 def _latin(data: Column) -> Column:
@@ -68,7 +119,9 @@ def parse_plan(records: DataFrame) -> DataFrame:
     """Plan fields of (name, ord, state, record) and error, the first rule a record breaks.
 
     Slices and file numbers must run without a gap; a directive may only come first.
-    Rows after a file's first error are left out, as reading stops there.
+    Rows after a file's first error are left out, as reading stops there.  A file is judged
+    by spans of ``SPAN`` numbers: the last entry before a span, and whether an error is before
+    it, come from one row a span.
     """
     text = _latin(F.col("record"))
     parts = F.split(F.substr(text, F.lit(2)), "/", 10)
@@ -82,9 +135,14 @@ def parse_plan(records: DataFrame) -> DataFrame:
         }
     )
     entry = F.col("chdir").isNull()
-    file_order = W.partitionBy("name").orderBy("ord")
-    before = file_order.rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(entry, F.struct("slice", "file_num")), ignorenulls=True).over(before)
+    rows = rows.withColumn("span", F.floor(F.col("ord") / SPAN))
+    numbers = F.when(entry, F.struct("slice", "file_num"))
+    earlier = W.partitionBy("name").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    seams = rows.groupBy("name", "span").agg(F.max_by(numbers, F.when(entry, F.col("ord"))).alias("own"))
+    seams = seams.select("name", "span", F.last("own", ignorenulls=True).over(earlier).alias("seam"))
+    before = W.partitionBy("name", "span").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("near", F.last(numbers, ignorenulls=True).over(before)).join(seams, ["name", "span"], "left")
+    last = F.coalesce("near", "seam")
     follows = F.when(last.isNull(), (F.col("slice") == 0) & (F.col("file_num") == 0)).otherwise(
         ((F.col("slice") == last["slice"]) & (F.col("file_num") == last["file_num"] + 1)) | ((F.col("slice") == last["slice"] + 1) & (F.col("file_num") == 0))
     )
@@ -99,7 +157,11 @@ def parse_plan(records: DataFrame) -> DataFrame:
         .when(entry & (F.col("kind") == "h") & (F.col("size") != 0), "hard link with a size")
         .when(entry & ~F.coalesce(follows, F.lit(False)), "slice or file number does not follow")
     )
-    rows = rows.withColumn("error", error).withColumn("failed", F.coalesce(F.max(F.col("error").isNotNull()).over(before), F.lit(False))).where(~F.col("failed"))
+    rows = rows.withColumn("error", error)
+    ended = rows.groupBy("name", "span").agg(F.max(F.col("error").isNotNull()).alias("own"))
+    ended = ended.select("name", "span", F.max("own").over(earlier).alias("ended"))
+    failed = F.max(F.col("error").isNotNull()).over(before)
+    rows = rows.withColumn("failed", failed).join(ended, ["name", "span"], "left").where(~F.coalesce("failed", F.lit(False)) & ~F.coalesce("ended", F.lit(False)))
     good = F.col("error").isNull()
     only = {c: F.when(good & entry, F.col(c)) for c in [*PLAN, "path"]} | {"chdir": F.when(good, F.col("chdir"))}
     return rows.withColumns(only).select("name", "ord", "chdir", *PLAN, "path", "error")

@@ -104,3 +104,46 @@ def test_walk(spark, tmp_path):
     (tmp_path / "l").symlink_to("b")
     rows = [(r["path"].decode().split("/")[-1], r["kind"], r["size"]) for r in walk.scan_tree(spark, [str(tmp_path)]).orderBy("ord").collect()]
     assert rows[1:] == [("a", "f", 2), ("b", "h", 0), ("d", "d", 0), ("l", "l", 1), ("x", "f", 3)]
+
+
+def test_records_by_ranges(spark, tmp_path):
+    """Files read by ranges of a few bytes give what whole files give."""
+    whole = b"".join(line(0, i, "f", i, 0, 1, "u", 1, "g", b"p%d\n\xff" % i) for i in range(40))
+    tails = [b"", b"/0/40", b"/0/40\0", b"/0/40\0x" + whole, b"\0\0\n" + whole, b"\0\n\0\n" + whole, b"/a\0\0", b"\0", b"\0x", b"/a\n\0\n/b\0\0\n"]
+    files = {f"f{i}": whole + t for i, t in enumerate(tails)} | {f"g{i}": t for i, t in enumerate(tails)} | {"mark": b"\xef\xbb\xbf" + whole, "torn-mark": b"\xef\xbb\xbf" + whole + b"/0"}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    want = records.split_records(spark.createDataFrame([(n, bytearray(r)) for n, r in files.items()], "name string, bytes binary")).collect()
+    small = {"spark.sql.files.maxPartitionBytes": "61", "spark.sql.files.openCostInBytes": "1"}
+    for settings in ({}, small):
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            got = records.read_records(spark, str(tmp_path)).collect()
+        finally:
+            for k in settings:
+                spark.conf.unset(k)
+        plain = lambda rows: sorted((r["name"].split("/")[-1], r["ord"], r["state"], bytes(r["record"])) for r in rows)
+        assert plain(got) == plain(want)
+
+
+def test_records_of_a_stream(spark):
+    raw = line(0, 0, "f", 1, 0, 1, "", 1, "", "p") + line(0, 1, "f", 1, 0, 1, "", 1, "", "q")
+    for tail in (b"", b"/0", b"/0\0", b"\0x", b"\0\0\n"):
+        parts = spark.createDataFrame([(i, bytearray((raw + tail)[i : i + 1])) for i in range(len(raw + tail))], "o long, d binary")
+        got = records.split_stream(parts, "o", "d", "s").orderBy("ord").collect()
+        want = records.split_records(spark.createDataFrame([("s", bytearray(raw + tail))], "name string, bytes binary")).orderBy("ord").collect()
+        assert got == want
+
+
+@pytest.mark.parametrize("at", [0, 2, 3, 4, 11])
+def test_plan_spans(spark, monkeypatch, at):
+    """An error, and an entry that does not follow, next to and away from the ends of spans."""
+    e = lambda s, f: line(s, f, "f", 1, 0, 1, "", 1, "", "p")
+    rows = [line("chdir", "d"), *(e(i // 5, i % 5) for i in range(11))]
+    monkeypatch.setattr(records, "SPAN", 4)
+    got = plan(spark, b"".join(rows))
+    assert len(got) == 12 and not any(r["error"] for r in got)
+    for bad in (e(9, 9), b"x\0\n"):
+        got = plan(spark, b"".join(rows[: at + 1] + [bad] + rows[at + 1 :]))
+        assert [r["error"] is None for r in got] == [True] * (at + 1) + [False]
