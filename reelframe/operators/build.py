@@ -14,9 +14,9 @@ from reelframe.sources.frames import ARCHIVE_END, HASH, HEADER, SIGNATURE, build
 NEEDS = ["channel_type", "volume_seq_num", "global_frame_seq_num", "slice_seq_num", "channel_frame_seq_num", "frame_payload_size", "is_end", "payload"]
 
 
-def with_archive_end(frames: DataFrame) -> DataFrame:
-    """Adds the closing frame, which takes the next global number."""
-    end = frames.agg(F.coalesce(F.max("global_frame_seq_num") + 1, F.lit(0)).alias("global_frame_seq_num"), F.coalesce(F.max("volume_seq_num"), F.lit(0)).alias("volume_seq_num"))
+def with_archive_end(frames: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Adds the closing frame, which takes the next global number; heads: rows that tell the last one, if not all frames shall."""
+    end = (frames if heads is None else heads).agg(F.coalesce(F.max("global_frame_seq_num") + 1, F.lit(0)).alias("global_frame_seq_num"), F.coalesce(F.max("volume_seq_num"), F.lit(0)).alias("volume_seq_num"))
     end = end.select(F.lit(ARCHIVE_END).alias("channel_type"), "volume_seq_num", "global_frame_seq_num", F.lit(0).alias("slice_seq_num"), F.lit(0).alias("channel_frame_seq_num"), F.lit(0).alias("frame_payload_size"), F.lit(True).alias("is_end"), F.lit(b"").alias("payload"))
     return frames.select(*NEEDS).unionByName(end)
 

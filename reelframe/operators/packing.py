@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reelframe.operators.folds import ordered_fold
 from reelframe.operators.scratch import Scratch
@@ -258,6 +259,49 @@ def number_streams(streams: DataFrame, block: int, order: list[str], data: str =
     return cut.withColumn("global_frame_seq_num", F.col("__first") + F.col("channel_frame_seq_num") + start).drop("__first")
 
 
+#: Bytes of a file that a task reads, and of the frames that it holds at once; most tasks of a job.
+PIECE, HELD, TASKS = 64 << 20, 16 << 20, 1 << 16
+
+
+def number_files(files: DataFrame, block: int, order: list[str], start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What ``number_streams`` gives, of streams in files of any length; and (last), each stream's last global number.
+
+    files: name and size beside the columns of a stream, a row each.  Files are read where
+    executors and driver reach them by the same path, a range a task, a few frames at a
+    time.  One that has become shorter is an error, of a longer one the rest is left.
+    """
+    capacity, kept = block - HEADER, [c for c in files.columns if c not in ("name", "size")]
+    per, step = max(1, PIECE // capacity), max(1, HELD // block)
+    scratch = Scratch(files.sparkSession, "files")
+    counts = scratch.keep(files.withColumn("__many", F.expr(f"(size + {capacity - 1}) div {capacity}")).where("__many > 0"), "counts")
+    first = scratch.keep(running(counts, [F.col(c) for c in order], F.col("__many"), "__first"), "first")
+    # a number of tasks that is asked for, as the rows are too narrow to tell how much is read for them
+    tasks = first.agg(F.sum(F.ceil(F.col("__many") / per))).first()[0] or 1
+    pieces = first.withColumn("__at", F.explode(F.expr(f"sequence(0L, __many - 1, {per}L)"))).repartition(min(tasks, TASKS), *order, "__at")
+    schema = T.StructType([*(files.schema[c] for c in kept), *(T.StructField(c, t) for c, t in CUT.items())])
+    arrow = {f.name: to_arrow_type(f.dataType) for f in schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            with open(row["name"], "rb") as f:
+                f.seek(row["__at"] * capacity)
+                end = min(row["__at"] + per, row["__many"])
+                for lo in range(row["__at"], end, step):
+                    numbers = range(lo, min(lo + step, end))
+                    sizes = [min(capacity, row["size"] - i * capacity) for i in numbers]
+                    parts = [f.read(n) for n in sizes]
+                    if [len(p) for p in parts] != sizes:
+                        raise OSError(f"{row['name']} is shorter than {row['size']} bytes")
+                    ends, seqs = [i + 1 == row["__many"] for i in numbers], [start + row["__first"] + i for i in numbers]
+                    values = [*([row[c]] * len(parts) for c in kept), list(numbers), sizes, ends, parts, seqs]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, arrow.values(), strict=True)], names=list(arrow))
+
+    return pieces.mapInArrow(run, schema), first.select((F.col("__first") + F.col("__many") - 1 + start).alias("last"))
+
+
+CUT = {"channel_frame_seq_num": T.LongType(), "frame_payload_size": T.LongType(), "is_end": T.BooleanType(), "payload": T.BinaryType(), "global_frame_seq_num": T.LongType()}
+
+
 def number_frames(frames: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Adds global_frame_seq_num, gapless in the order; the first of ``order`` is a long."""
     out = running(frames, [F.col(c) for c in order], F.lit(1), "global_frame_seq_num")

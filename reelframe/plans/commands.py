@@ -77,6 +77,23 @@ def archive_streams(streams: DataFrame, archive: Archive, catalog: bytes | None
     return build.build_records(closed, archive.block, archive.uuid, archive.label, archive.seed, archive.key_id, archive.domain)
 
 
+def archive_files(written: DataFrame, archive: Archive, catalog: str | None = None) -> DataFrame:
+    """Records of an archive from slices in files, as ``pax.write_slices`` tells of them; an optional plan file in front.
+
+    What ``archive_streams`` makes of the files' bytes, for slices of any length.
+    """
+    files = written.select(F.col("slice").cast("long").alias("slice_seq_num"), F.lit(fr.CONTENT).alias("channel_type"), "name", F.col("output_bytes").cast("long").alias("size"))
+    if catalog:
+        front = written.sparkSession.createDataFrame([(0, fr.METADATA, catalog, os.path.getsize(catalog))], "slice_seq_num long, channel_type int, name string, size long")
+        files = files.unionByName(front)
+    lead = F.col("slice_seq_num") * 2 + (F.col("channel_type") == fr.CONTENT).cast("long")
+    frames, ends = packing.number_files(files.withColumn("lead", lead), archive.block, ["lead"])
+    volume = lambda c: packing.volume_of(F.col(c), archive.block, archive.capacity)
+    heads = ends.select(F.col("last").alias("global_frame_seq_num"), volume("last").alias("volume_seq_num"))
+    closed = build.with_archive_end(frames.withColumn("volume_seq_num", volume("global_frame_seq_num")), heads)
+    return build.build_records(closed, archive.block, archive.uuid, archive.label, archive.seed, archive.key_id, archive.domain)
+
+
 def store(record: DataFrame, path: str, volume: int) -> None:
     """One volume's records as a spool directory of one tape file."""
     own = record.where(F.col("volume_seq_num") == volume).select(F.lit(1).alias("file_num"), F.col("global_frame_seq_num").alias("rec_idx"), "record")

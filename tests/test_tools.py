@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import ed25519, names
 from reelframe.functions.blake3 import Blake3, blake3_many
-from reelframe.operators import lookups, packing
+from reelframe.operators import lookups, packing, pax
 from reelframe.plans import commands
 from reelframe.sources import frames as fr
 from reelframe.sources import records, spool
@@ -57,6 +57,29 @@ def test_pax_from_files(spark, tmp_path):
     assert late.agg({"slice": "min"}).first()[0] == 2
 
 
+def test_archive_of_files(spark, tmp_path, monkeypatch):
+    """A tree is planned, written as slices, archived from these files by ranges, put on volumes and restored."""
+    monkeypatch.setattr(packing, "PIECE", 8000)
+    monkeypatch.setattr(packing, "HELD", 4096)
+    plan = commands.plan_tree(spark, [entry_tree(tmp_path)], slice_size=4000).cache()
+    commands.write_plan(plan, str(tmp_path / "plan"))
+    written = pax.write_slices(lookups.resolve_links(plan), str(tmp_path / "s")).cache()
+    a = commands.Archive(UUID, b"tree", 4096, 5 * 4096)
+    made = commands.archive_files(written, a, str(tmp_path / "plan")).cache()
+    slices = [(r["slice"], bytearray(open(r["name"], "rb").read())) for r in written.orderBy("slice").collect()]  # noqa: SIM115
+    want = commands.archive_streams(spark.createDataFrame(slices, "slice_seq_num long, data binary"), a, (tmp_path / "plan").read_bytes())
+    rows = lambda df: df.orderBy("global_frame_seq_num").collect()
+    assert rows(made) == rows(want) and made.agg({"volume_seq_num": "max"}).first()[0] > 1
+    paths = [str(tmp_path / f"v{i}") for i in range(1 + made.agg({"volume_seq_num": "max"}).first()[0])]
+    assert commands.write_volumes(made, paths) == 0
+    commands.extract(spark, paths, str(tmp_path / "out"))
+    assert (tmp_path / "out").read_bytes() == b"".join(s for _, s in slices)
+    assert commands.catalog(spark, paths).where("error IS NULL").count() == plan.count()
+    (tmp_path / "s000000.pax").write_bytes(b"short")
+    with pytest.raises(Exception, match="is shorter than"):
+        commands.archive_files(written, a).count()
+
+
 def test_volumes_written_in_one_go(spark, tmp_path):
     made = archive(spark, [b"a" * 9000, b"b" * 20000]).selectExpr("file_num AS volume_seq_num", "rec_idx AS global_frame_seq_num", "record")
     paths = [str(tmp_path / f"v{i}") for i in range(3)]
