@@ -8,19 +8,23 @@ its own and, by L1, leaves most weights at exactly zero; the few others are sort
 arrays that go to the executors inside the function.
 
 Learning takes at most ``TRAIN_DOCS`` labelled documents, those with the smallest hash
-of their id, so what comes to the driver is bounded; scoring reads every whole text.
+of their id; scoring reads every whole text.  The features of what is learned from come
+to the driver a partition at a time, packed, and wait in a file there, so that texts of any
+length are learned whole and memory is one partition and one document.
 Labels, language, source and id are never inputs of a score.
 
 Nulls and odd input: a null or empty text, or one without words, has no features and
 the score of the bias alone; repeated rows score alike; a row with a null id is scored
 but never learned from; rows of labels with null id or label are left out, repeated
-ones count once (label 1 if any says so); of several texts under one labelled id one is learned from (the least by its features); with no label to learn from, all scores are
+ones count once (label 1 if any says so); of several texts under one labelled id one is learned from (the least by its packed features); with no label to learn from, all scores are
 0.0; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+import zlib
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -66,6 +70,17 @@ class Hasher:
         return np.unique(((h ^ (h >> np.uint64(29))) >> np.uint64(7)) & self.mask).astype(np.int32)
 
 
+def pack(features: np.ndarray) -> bytes:
+    """Sorted features as bytes: their gaps, low bytes first, deflated."""
+    gaps = np.diff(features, prepend=0).astype("<u4")
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int32)
+
+
 class FTRL:
     """Per-coordinate FTRL-proximal with binary features; coordinate ``2 ** bits`` is the bias."""
 
@@ -127,19 +142,21 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            x = [hasher.features(t).tobytes() for t in b.column("text").to_pylist()]
+            x = [pack(hasher.features(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(x, pa.binary())], names=["id", "label", "x"])
 
     held = texts.select("id", "label", "text").mapInArrow(run, texts.select("id", "label", F.lit(b"").alias("x")).schema)
-    rows = held.groupBy("id", "label").agg(F.min("x").alias("x")).collect()  # ``docs`` rows at most, however often an id is repeated
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (crc32(str(r["id"]).encode()), r["id"], bytes(r["x"])))
-    data = [(np.frombuffer(r["x"], np.int32), r["label"]) for r in rows]
-    model = FTRL()
-    for _ in range(EPOCHS):
-        for x, y in data:
-            model.learn(x, y)
+    rows, model = [], FTRL()
+    with tempfile.TemporaryFile() as kept:
+        for r in held.groupBy("id", "label").agg(F.min("x").alias("x")).toLocalIterator():  # ``docs`` rows at most, however often an id is repeated
+            rows.append((crc32(str(r["id"]).encode()), r["id"], r["label"], kept.tell(), kept.write(r["x"])))
+        if not rows:
+            return None
+        rows.sort()
+        for _ in range(EPOCHS):
+            for _, _, label, at, size in rows:
+                kept.seek(at)
+                model.learn(unpack(kept.read(size)), label)
     return model.sparse()
 
 

@@ -173,6 +173,33 @@ def test_toxicity_folds_repeated_ids(spark, monkeypatch):
     assert len(seen) == 5 * toxicity.EPOCHS
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """The features of all texts are over what the driver may get as one result; the weights are those of a plain loop."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 50_000, 4000)] + ["badword"] * (i % 2)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    conf, own = spark.sparkContext._jsc.sc().conf(), {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, most = {k: spark.conf.get(k) for k in own}, conf.get("spark.driver.maxResultSize", "1g")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        conf.set("spark.driver.maxResultSize", "1m")
+        got = toxicity.train(docs, labels, hold_out=(1, 5))
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    h, model = toxicity.Hasher(), toxicity.FTRL()
+    x = [h.features(t) for t in texts]
+    assert sum(map(len, x)) * 4 > 4 << 20 and all((toxicity.unpack(toxicity.pack(f)) == f).all() for f in [*x[:3], x[0][:0], x[0][:1]])
+    for _ in range(toxicity.EPOCHS):
+        for i in sorted(range(120), key=lambda i: crc32(str(i).encode())):
+            model.learn(x[i], i % 2)
+    want = model.sparse()
+    assert len(want.at) and got.at.tolist() == want.at.tolist() and got.w.tolist() == want.w.tolist() and got.bias == want.bias
+
+
 def test_features_of_ngrams_and_skipgrams():
     h = toxicity.Hasher()
     assert len(h.features("a b c")) == 3 + 2 + 1 and len(h.features(None)) == 0 and len(h.features("!!")) == 0
