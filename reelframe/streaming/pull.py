@@ -1,9 +1,13 @@
 """The pull protocol as a streaming source: frames by global number, a window at a time.
 
 A spool volume is the producer.  An offset is the next global number that is not yet
-acknowledged; a micro-batch asks for at most ``window`` frames after it, and its commit
-is the acknowledgement.  The source replays any range that was not committed, so
+acknowledged; a micro-batch asks for at most ``windows`` times ``window`` frames after it, and
+its commit is the acknowledgement.  The source replays any range that was not committed, so
 a query that stops goes on where it was.
+
+A micro-batch costs the same however few frames it has, so one window each is for volumes
+that grow slowly; a long volume at rest is pulled many windows at a time.  They are dealt
+to tasks of ``TASK`` bytes, which hold one frame each: the volume itself retains the rest.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from reelframe.sources.spool import block_size, spool_files
 
 WINDOW = 256
+WINDOWS = 1024  # of a micro-batch, for volumes at rest
+TASK = 16 << 20  # bytes that one task reads
 
 
 class Retention:
@@ -40,13 +46,20 @@ class Retention:
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     path: str
     first: int  # record of the file
     seq: int
     count: int
     size: int
 
+
+@dataclass
+class Part(InputPartition):
+    """Spans of one file or several, in order: what a task reads."""
+
+    spans: list[Span]
+
     def __post_init__(self):
         self.value = None
 
@@ -54,6 +67,7 @@ class Span(InputPartition):
 class PullReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.window = options["path"], int(options.get("window", WINDOW))
+        self.most = self.window * int(options.get("windows", 1))
         self.next = 0
 
     def files(self) -> list[tuple[str, int, int]]:
@@ -72,26 +86,32 @@ class PullReader(DataSourceStreamReader):
         return {"next": 0}
 
     def latestOffset(self) -> dict:
-        """So far as the window lets it go beyond what was committed."""
+        """So far as the windows let it go beyond what was committed."""
         there = sum(n for _, n, _ in self.files())
-        self.next = min(there, self.next + self.window)
+        self.next = min(there, self.next + self.most)
         return {"next": self.next}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Part]:
         self.next = max(self.next, end["next"])
-        out, seq = [], 0
+        out, seq, left = [], 0, 0
         for path, n, size in self.files():
             lo, hi = max(start["next"], seq), min(end["next"], seq + n)
-            if lo < hi:
-                out.append(Span(path, lo - seq, lo, hi - lo, size))
+            while lo < hi:
+                if left < size:
+                    out.append(Part([]))
+                    left = max(TASK, size)
+                count = min(hi - lo, left // size)
+                out[-1].spans.append(Span(path, lo - seq, lo, count, size))
+                lo, left = lo + count, left - count * size
             seq += n
         return out
 
-    def read(self, part: Span) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            f.seek(part.first * part.size)
-            for i in range(part.count):
-                yield part.seq + i, f.read(part.size)
+    def read(self, part: Part) -> Iterator[tuple]:
+        for s in part.spans:
+            with open(s.path, "rb") as f:
+                f.seek(s.first * s.size)
+                for i in range(s.count):
+                    yield s.seq + i, f.read(s.size)
 
     def commit(self, end: dict) -> None:
         self.next = max(self.next, end["next"])
@@ -109,7 +129,7 @@ class Pull(DataSource):
         return PullReader(self.options)
 
 
-def pull_stream(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
-    """(ord, record) of a volume that may still grow, at most ``window`` frames a micro-batch."""
+def pull_stream(spark: SparkSession, path: str, window: int = WINDOW, windows: int = 1) -> DataFrame:
+    """(ord, record) of a volume that may still grow, at most ``windows`` windows of ``window`` frames a micro-batch."""
     spark.dataSource.register(Pull)
-    return spark.readStream.format("pull").option("window", window).load(path)
+    return spark.readStream.format("pull").option("window", window).option("windows", windows).load(path)

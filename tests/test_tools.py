@@ -208,6 +208,29 @@ def test_pulled_frames_in_windows(spark, tmp_path):
     assert out.count() == n and {r["status"] for r in out.collect()} == {"ok"}
 
 
+def test_pulled_windows_in_one_batch(spark, tmp_path, monkeypatch):
+    """Many windows a micro-batch, dealt to tasks by bytes: every frame once, few batches."""
+    media = archive(spark, [b"a" * 9000, b"b" * 20000])
+    spool.write_spool(media.withColumn("file_num", F.col("rec_idx") / 3 + 1).selectExpr("cast(file_num as long) file_num", "rec_idx", "record"), str(tmp_path / "v"))
+    n = media.count()
+    monkeypatch.setattr(pull, "TASK", 4 * 4096)
+    reader = pull.PullReader({"path": str(tmp_path / "v"), "window": "2", "windows": "1000"})
+    assert reader.latestOffset() == {"next": n}
+    parts = reader.partitions({"next": 1}, {"next": n})
+    want = [(r["rec_idx"], bytes(r["record"])) for r in media.orderBy("rec_idx").collect()][1:]
+    assert [x for p in parts for x in reader.read(p)] == want
+    assert [sum(s.count for s in p.spans) for p in parts] == [4] * ((n - 1) // 4) + [(n - 1) % 4] * ((n - 1) % 4 > 0)
+    assert reader.partitions({"next": n}, {"next": n}) == []
+    heads = pull.pull_stream(spark, str(tmp_path / "v"), 2, 1000).select("ord")
+    query = heads.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(n))
+    assert len(list((tmp_path / "c" / "commits").glob("[0-9]*"))) == 1
+
+
 def test_number_streams_like_frames(spark):
     docs = spark.createDataFrame([(i, b"x" * (i * 3000)) for i in (5, 1, 0, 7)], "slice_seq_num long, data binary")
     got = packing.number_streams(docs, 4096, ["slice_seq_num"]).orderBy("global_frame_seq_num").select("slice_seq_num", "channel_frame_seq_num", "global_frame_seq_num").collect()
